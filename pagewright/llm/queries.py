@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, sstable
+from . import decontamination, language, packing, simhash, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +25,38 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5, 0.8)
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, entries = sstable.token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return entries
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_packing, op6_token_shards)}
+    return {f.__name__: f for f in (op1_language, op3_packing, op5_decontamination, op6_token_shards, op7_simhash)}
+
+
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+_SHINGLES = "list_distinct(list_transform(range(0, greatest(1, len(w) - 4)), lambda i: array_to_string(list_slice(w, i + 1, i + 5), ' ')))"
+
+ORACLE_OP5 = f"""
+WITH items AS (
+  SELECT item_id, len(s) AS n, s FROM (
+    SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0)
+), asked AS (SELECT item_id, n, unnest(s) AS shingle FROM items),
+docs AS (
+  SELECT doc_id, unnest({_SHINGLES}) AS shingle FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 0
+)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(count(*) AS INTEGER) AS n_shared, count(*) / CAST(n AS DOUBLE) AS containment
+FROM asked JOIN docs USING (shingle) GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(0.8 * n - 1e-9)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": ORACLE_OP5}
