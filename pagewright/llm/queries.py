@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, language, packing, simhash, sstable
+from . import decontamination, embeddings, language, licences, line_dedup, packing, sharding, simhash, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +22,24 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files: source/thousand/doc_id.txt."""
+    path = F.expr("concat_ws('/', source, cast(doc_id div 1000 AS string), concat(doc_id, '.txt'))")
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), path.alias("path"), "text")
+    return licences.resolve(files).withColumnRenamed("key", "doc_id")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
+SHARDS = [f"shard-{k:02d}" for k in range(64)]
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id", SHARDS)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5, 0.8)
 
@@ -38,12 +53,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 4)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_packing, op5_decontamination, op6_token_shards, op7_simhash, op10_embeddings)}
+    return {f.__name__: f for f in (op1_language, op2_licences, op3_packing, op4_sharding, op5_decontamination, op6_token_shards, op7_simhash, op8_line_dedup, op10_embeddings)}
 
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
@@ -62,5 +82,13 @@ FROM asked JOIN docs USING (shingle) GROUP BY doc_id, item_id, n HAVING count(*)
 """
 
 
+ORACLE_OP4 = f"""
+WITH placed AS (
+  SELECT doc_id, source, n_chars, CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % {sharding.table_size(len(SHARDS))} AS INTEGER) AS slot FROM documents
+)
+SELECT *, printf('shard-%02d', [{", ".join(map(str, sharding.lookup_table(SHARDS, sharding.table_size(len(SHARDS)))))}][slot + 1]) AS shard FROM placed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": ORACLE_OP5}
+    return {"op4_sharding": ORACLE_OP4, "op5_decontamination": ORACLE_OP5}
