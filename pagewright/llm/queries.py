@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, language, licences, line_dedup, packing, sharding, simhash, sstable
+from . import decontamination, embeddings, language, licences, line_dedup, packing, pii, sharding, simhash, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.length("text").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.learn(pii.sample_regions(docs)))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_licences, op3_packing, op4_sharding, op5_decontamination, op6_token_shards, op7_simhash, op8_line_dedup, op10_embeddings)}
+    return {f.__name__: f for f in (op1_language, op2_licences, op3_packing, op4_sharding, op5_decontamination, op6_token_shards, op7_simhash, op8_line_dedup, op9_pii, op10_embeddings)}
 
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
