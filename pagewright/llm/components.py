@@ -45,8 +45,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = cut(e)
     loops = e.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
     e = e.where("u > v")
-    seen = None
-    while True:
+    done = False
+    while not done:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _with_minimum(large)
@@ -54,10 +54,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
         e = cut(nxt.where("u > v").distinct())
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
+        # stars are all that is left once every u has one v and no v is a u
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("below")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("below")))
+        ends = ends.groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
+        done = ends.where("below > 1 OR (below = 1 AND least = 0)").limit(1).count() == 0
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return (
