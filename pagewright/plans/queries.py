@@ -380,15 +380,16 @@ def html_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", (F.col("pos") + 1).alias("line_num"), "text")
 
 
-@query()
+@query("SELECT conv_id, turn, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS INTEGER) AS leaves FROM conversations WHERE text IS NOT NULL")
 def jsonl_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     import json
 
     @F.udf("array<string>", useArrow=True)
-    def leaves(text: str) -> list[str]:
-        return json_leaves(json.loads(text), None) if text else []
+    def leaves(record: str) -> list[str]:
+        return json_leaves(json.loads(record))
 
-    return table(spark, sf_dir, "events").where("props IS NOT NULL").select("event_id", F.explode(leaves("props")).alias("leaf"))
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.to_json(F.struct("role", "text")).alias("record"))
+    return turns.select("conv_id", "turn", F.size(leaves("record")).alias("leaves"))
 
 
 @query(
