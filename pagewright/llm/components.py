@@ -47,22 +47,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = e.where("u > v")
     done = False
     while not done:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _with_minimum(large)
-        nxt = small.select("u", F.col("m").alias("v")).unionByName(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
-        e = cut(nxt.where("u > v").distinct())
+        both = e.select(F.expr("inline(array(struct(u, v), struct(v AS u, u AS v)))"))
+        # every half round is cut: its result is read twice
+        large = cut(_with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = _with_minimum(large).select(F.expr("inline(array(struct(u, m AS v), struct(v AS u, m AS v)))"))
+        e = cut(small.where("u > v").distinct())
         # stars are all that is left once every u has one v and no v is a u
-        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("below")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("below")))
+        ends = e.select(F.expr("inline(array(struct(u AS node, 1 AS below), struct(v AS node, 0 AS below)))"))
         ends = ends.groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
         done = ends.where("below > 1 OR (below = 1 AND least = 0)").limit(1).count() == 0
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return (
-        stars.unionByName(roots)
-        .unionByName(loops)
-        .groupBy("node")
-        .agg(F.min("component").alias("component"))
-    )
+    stars = e.select(F.expr("inline(array(struct(u AS node, v AS component), struct(v AS node, v AS component)))"))
+    return stars.unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
