@@ -75,7 +75,7 @@ def best_count(n: int, radius: int) -> int:
     """
 
     def work(count: int) -> float:
-        return sum(sum(comb(w, d) for d in range(r + 1)) * n * (1 + 0.05 * n / 2**w) for _, w, r in segments(count, radius))
+        return sum(sum(comb(w, d) for d in range(r + 1)) * n * (1 + 0.01 * n / 2**w) for _, w, r in segments(count, radius))
 
     return min(range(2, radius + 1), key=work) if radius > 1 else 2
 
