@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagewright import config as C
 from pagewright.functions import signals as S
 from pagewright.functions import text as T
-from pagewright.operators import aggregate, evaluate, lexicon, passes, records, sampling, scoring, shaping
+from pagewright.operators import aggregate, evaluate, lexicon, modelling, passes, records, sampling, scoring, shaping
 from pagewright.operators.lines import explode_lines, remap_language, with_model_columns
 from pagewright.sources.readers import html_pages, json_leaves
 from pagewright.streaming.ingest import event_windows
@@ -426,3 +426,36 @@ def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     got = got.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows whatever the scale
     return got.groupBy(F.col("n_name").alias("nation")).agg(F.count("*").alias("orders"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query(
+    f"""WITH {_LINES}, c AS (SELECT *, concat_ws(chr(10), lag(text, 2) OVER w, lag(text) OVER w, '>>' || text || '<<', lead(text) OVER w, lead(text, 2) OVER w) AS context FROM lines WINDOW w AS (PARTITION BY file, page_num ORDER BY line_num))
+  SELECT {_KEY}, context FROM c WHERE line_num = 3"""
+)
+def line_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modelling.context(lines_of(spark, sf_dir), "line_num = 3").select("file", "page_num", "line_num", "context")
+
+
+@query(f"WITH {_JUDGED} SELECT CAST(least(floor(quality_score * 10), 9) AS INTEGER) AS bin, categ, count(*) AS n, round(avg(quality_score), 9) AS mean_score FROM judged GROUP BY ALL")
+def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modelling.score_histogram(judged(spark, sf_dir)).withColumn("mean_score", F.round("mean_score", 9))
+
+
+@query(
+    f"""WITH {_JUDGED}, n AS (SELECT file, page_num, categ, quality_score, CAST(least(floor(lang_score * 10), 9) AS INTEGER) AS bin, lang_score FROM judged)
+  SELECT bin, count(*) AS n, round(avg(lang_score), 9) AS mean_predicted, round(avg(quality_score), 9) AS mean_true FROM n GROUP BY bin"""
+)
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = evaluate.calibration(judged(spark, sf_dir), "quality_score", "lang_score")
+    return got.where("n > 0").withColumns({c: F.round(c, 9) for c in ("mean_predicted", "mean_true")})
+
+
+@query(f"WITH {_JUDGED} SELECT count(*) FILTER (WHERE quality_score >= 0.5 AND lang_score < 0.5) AS fixes, count(*) FILTER (WHERE quality_score < 0.5 AND lang_score >= 0.5) AS breaks, count(*) FILTER (WHERE quality_score >= 0.5 AND lang_score >= 0.5) AS both FROM judged".replace(" AS both", ' AS "both"'))
+def paired_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = judged(spark, sf_dir).select(F.lit(True).alias("g"), (F.col("quality_score") >= 0.5).alias("a"), (F.col("lang_score") >= 0.5).alias("b"))
+    return evaluate.paired_counts(df, "g", "a", "b")
+
+
+@query()
+def corrupted_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modelling.dataset(lines_of(spark, sf_dir).where("length(text) > 40"))

@@ -156,3 +156,17 @@ def test_entry_imports_and_names():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_corruption_is_deterministic_and_ordered(spark):
+    from pagewright.functions.corruption import BANDS, OPS, corrupt, generator
+    from pagewright.operators import modelling
+
+    text = "Příliš žluťoučký kůň úpěl ďábelské ódy na mokré louce"
+    for name in OPS:
+        assert corrupt(text, generator(1, "f", 1, 0), "heavy", [name]) == corrupt(text, generator(1, "f", 1, 0), "heavy", [name])
+        assert corrupt(text, generator(1, "f", 1, 0), "heavy", [name])[0] != text
+    df = spark.createDataFrame([("AB1964001", 1, 1, text), ("x", 1, 2, text)], "file string, page_num int, line_num int, text string")
+    rows = modelling.variants(df).collect()
+    assert len(rows) == 2 * len(BANDS) and modelling.dataset(df).count() <= 7
+    assert [r[0] for r in df.select(F.expr(modelling.decade())).collect()] == ["1960s", "unknown"]
