@@ -39,7 +39,11 @@ def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.classify(remap_language(with_model_columns(lines_of(spark, sf_dir))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a file that can't be split would be scored by one core
+        docs = docs.repartition(cores)
+    return scoring.classify(remap_language(with_model_columns(explode_lines(docs))))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
