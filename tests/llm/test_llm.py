@@ -374,6 +374,41 @@ def test_line_corners(spark):
     assert got == {None: "one two three four five", 1: "x", 2: "y"}
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i, *row[1:]], row
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+    return row[-1]
+
+
+def removed(spark, tmp_path, texts):
+    """Lines that op8_line_dedup removes from each text."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return {r["doc_id"]: r["n_removed"] for r in queries()["op8_line_dedup"](spark, str(tmp_path)).collect()}
+
+
+def test_line_query_finds_similar_lines_of_every_length(spark, tmp_path):
+    rng = random.Random(81)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9)))
+    texts, copies = [], {}
+    for n in [*range(5, 41), 60, 90, 150] * 4:
+        words = [word() for _ in range(n)]
+        texts.append(" ".join(words))
+        k = rng.randrange(n)
+        changed = rng.choice([word(), "q" + words[k][1:]])
+        copy = " ".join([*words[:k], changed, *words[k + 1 :]])
+        if edits(texts[-1], copy) <= 0.2 * max(len(texts[-1]), len(copy)):
+            copies[len(texts)] = n
+            texts.append(copy)
+    got = removed(spark, tmp_path, texts)
+    assert len(copies) > 140 and all(got[i] == 0 for i in got if i not in copies)
+    for lo, hi in ((5, 9), (10, 14), (15, 24), (25, 200)):
+        mine = [got[i] for i, n in copies.items() if lo <= n <= hi]
+        assert sum(mine) >= 0.97 * len(mine), (lo, hi)
+
+
 # 9
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
