@@ -409,6 +409,15 @@ def test_line_query_finds_similar_lines_of_every_length(spark, tmp_path):
         assert sum(mine) >= 0.97 * len(mine), (lo, hi)
 
 
+def test_long_lines_are_held_to_word_edits(spark):
+    a = [f"w{i}" for i in range(900)]
+    near = [f"z{i}" if i % 33 == 0 else w for i, w in enumerate(a)][:-2]
+    edge, far = ([f"z{i}" if i < n else w for i, w in enumerate(a)] for n in (180, 181))
+    rows = [(k, " ".join(x), " ".join(y)) for k, (x, y) in enumerate([(a, near), (a, edge), (a, far)])]
+    got = dict(spark.createDataFrame(rows, "k int, x string, y string").select("k", line_dedup.similar("x", "y")).collect())
+    assert got == {0: True, 1: True, 2: False}
+
+
 # 9
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
