@@ -54,7 +54,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), distance=None)
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), 1, None)
     return kept.select("doc_id", "n_lines", "n_removed", F.length("text").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 

@@ -418,6 +418,11 @@ def test_long_lines_are_held_to_word_edits(spark):
     assert got == {0: True, 1: True, 2: False}
 
 
+def test_line_query_takes_short_lines(spark, tmp_path):
+    texts = ["All rights reserved\nand ornd\n\n}", "x y\nall rights reserved.\nAnd ornd\n\n}", "all rights reservd", "reproduction", "reproductian", "cat", "cut", "left right", "no such line"]
+    assert removed(spark, tmp_path, texts) == {0: 0, 1: 2, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0, 7: 0, 8: 0}
+
+
 # 9
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
