@@ -502,6 +502,32 @@ def test_pipeline(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_links_by_jaccard(spark):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 20, 80, 250]))]
+        for n in (0, 1, 2, 4, 7):  # words replaced
+            copy = list(base)
+            for i in rng.sample(range(len(base)), min(n, len(base) - 1)):
+                copy[i] = f"v{rng.randrange(5000)}"
+            texts.append(" ".join(copy).title())
+    texts += ["", " ", None, texts[0].upper()]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    part, first = groups(pairs, range(len(sets))), {}
+    for i in range(len(sets)):
+        first.setdefault(part[i], i)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["simhash_dedup"]
+    got = [r["doc_id"] for r in stage(spark, docs, "").collect()]
+    assert sorted(got) == sorted(first.values()) and sum(0.8 <= jaccard(sets[i], sets[j]) < 0.95 for i, j in pairs) > 10
+    assert stage(spark, empty(spark), "").count() == 0 and stage(spark, odd(spark), "").columns == odd(spark).columns
+
+
 @pytest.mark.parametrize("name", ["op4_sharding", "op5_decontamination"])
 def test_queries_equal_sql(spark, sf_dir, name):
     import duckdb
