@@ -91,16 +91,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Profiles:
-    """Profiles from labelled (text, lang) rows; at most about per_language texts each, chosen by hash."""
+    """Profiles from labelled (text, lang) rows; at most about per_language texts each, chosen by hash.
+
+    A language of more rows than that counts each of its texts once.
+    """
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    # sketches of the distinct texts: copies of one go in or out together, so the share is of texts, not of rows
+    distinct = F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")
+    sizes = {r["lang"]: (r["n"], r["texts"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), distinct).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    large = [k for k, n in sizes.items() if n > per_language]
+    large = [k for k, (n, _) in sizes.items() if n > per_language]
     if large:
-        share = F.create_map(*[F.lit(x) for k in large for x in (k, int(2**31 * per_language / sizes[k]))])
+        share = F.create_map(*[F.lit(x) for k in large for x in (k, int(2**31 * min(1.0, per_language / max(1, sizes[k][1]))))])
         place = F.pmod(F.xxhash64("text"), F.lit(2**31))
-        labelled = labelled.where(F.coalesce(place < share[F.col("lang")], F.lit(True)))
+        many = F.col("lang").isin(large)
+        labelled = labelled.where(~many).unionByName(labelled.where(many & (place < share[F.col("lang")])).distinct())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}

@@ -104,6 +104,17 @@ def test_language_brute_and_corners(spark):
 # 2
 
 
+def test_language_of_few_texts_with_many_copies(spark):
+    few = [(f"lang{k}", f"{a}{b} {b}{c} {c}{a}{a}") for k in range(8) for a, b, c in [("abcdefgh"[k], "ijklmnop"[k], "qrstuvwx"[k])]]
+    rows = [x for x in few for _ in range(400)] + [("many", f"zz{i} yy{i * 7} text") for i in range(400)] + [("many", "ččč")] * 3000
+    found = language.learn(spark.createDataFrame(rows, "lang string, text string"), per_language=40)
+    assert found.names == sorted({x for x, _ in rows})
+    assert all(found.predict(text)[0] == lang for lang, text in few)
+    assert found.predict("ččč")[0] == "many" or not np.isin(language.profile("ččč"), found.codes).any()
+    # one text of many copies doesn't make the profile
+    assert np.isin(language.profile("text"), found.codes).any()
+
+
 def test_licences(spark):
     rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/c.py", "code"), ("a/b/x.py", "x\nLicensed under the Apache License, Version 2.0.\ny"), ("d/e.py", "none"), ("a/b/c/d/deep.py", None), (None, "n"), ("NOTICE", "Licensed under CC BY-NC 4.0."), ("top.py", "t")]
     files = spark.createDataFrame([(i, p, t, 9) for i, (p, t) in enumerate(rows)], "key int, path string, text string, licence int")
