@@ -42,6 +42,13 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SPELLED = re.compile(r"[\[({] ?at ?[\])}]", re.IGNORECASE)
+_PART, _DOT = "[A-Za-z0-9-]{1,63}", r"(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)"
+#: From the at to the end of an address that is spelled out: at in brackets, or bare before a bare dot.
+_ADDRESS = re.compile(rf"[\[({{] ?at ?[\])}}] ?{_PART}(?:{_DOT}{_PART}){{1,10}}| at {_PART}(?: dot {_PART}){{1,10}}", re.IGNORECASE)
+#: What carries an address on.
+_MORE = re.compile(f"{_DOT}[A-Za-z0-9-]", re.IGNORECASE)
+#: Groups of digits parted by slashes too.
+_SLASHED = re.compile(r"[+0-9][0-9 ().\-]*+/[0-9 ().\-/]*+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 _DIGITS = re.compile(r"[0-9]")
 
@@ -92,9 +99,10 @@ def base_spans(text: str) -> list[Span]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Parts of text in which the model looks: clusters of seven digits or more and addresses, to the next blanks."""
+    """Parts of text in which the model looks: clusters of seven digits or more and addresses with all their spelled-out parts, to the next blanks."""
     marks = [c.span() for c in _CLUSTER.finditer(text) if c.end() - c.start() >= 7 and len(_DIGITS.findall(c.group())) >= 7]
-    marks += [(i, i + 1) for i in _places(text, "@")] + [m.span() for m in _SPELLED.finditer(text)]
+    marks += [(i, i + 1) for i in _places(text, "@")] + [m.span() for m in _SPELLED.finditer(text)] + [m.span() for m in _ADDRESS.finditer(text)]
+    marks += [m.span() for m in _SLASHED.finditer(text) if len(_DIGITS.findall(m.group())) >= 7]
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(marks):
         lo, hi = _blank_before(text, lo), _blank_after(text, hi)
@@ -144,12 +152,14 @@ def _span_features(text: str, s: int, e: int) -> list[str]:
         f"shape={_shape(body)[:40]}",
         f"digits={n if n < 20 else 20}",
         f"groups={'-'.join(str(len(g)) for g in re.findall('[0-9]+', body))[:24]}",
-        f"at={'@' in body or bool(_SPELLED.search(body))}",
+        f"at={'@' in body or bool(_SPELLED.search(body) or _ADDRESS.search(body))}",
         f"first={_kind(body[0])}",
         f"last={_kind(body[-1])}",
         f"before={_kind(text[s - 1]) if s else 'edge'}",
         f"after={_kind(text[e]) if e < len(text) else 'edge'}",
     ]
+    if n < 7 and _MORE.match(text, e):
+        out.append("more")
     if 16 <= n <= 19:
         out.append(f"luhn={luhn(''.join(digits))}")
     parts = body.split(".")
@@ -237,10 +247,11 @@ def _rewritten(text: str, spans: list[Span], rng: random.Random) -> tuple[str, l
         if kind == "email":
             dot = rng.choice([".", " [dot] ", " (dot) "])
             local, _, domain = body.partition("@")
-            body = local + rng.choice([" [at] ", "[at]", " (at) ", "(at)"]) + domain.replace(".", dot)
+            at_sign = rng.choice([" [at] ", "[at]", " (at) ", "(at)", " at "])
+            body = local + at_sign + domain.replace(".", " dot " if at_sign == " at " else dot)
         elif kind == "phone":
             groups = re.findall(r"[0-9]+", body)
-            body = rng.choice(["00" + " ".join(groups), "({}) {}".format(groups[-3], "-".join(groups[-2:])) if len(groups) > 2 else " ".join(groups), "-".join(groups), ".".join(groups)])
+            body = rng.choice(["00" + " ".join(groups), "({}) {}".format(groups[-3], "-".join(groups[-2:])) if len(groups) > 2 else " ".join(groups), "-".join(groups), ".".join(groups), "/".join(groups)])
         elif kind == "card":
             digits = "".join(_DIGITS.findall(body))
             body = rng.choice([".", " ", "-"]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
@@ -253,7 +264,7 @@ def _rewritten(text: str, spans: list[Span], rng: random.Random) -> tuple[str, l
 def _plain_number(rng: random.Random) -> str:
     """What isn't personal data: dates, versions, amounts, serial numbers."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    return rng.choice([f"20{d(2)}-0{rng.randrange(1, 10)}-1{d(1)}", f"1{d(1)}.0{rng.randrange(1, 10)}.20{d(2)}", f"{d(7)}", f"{d(9)}", f"{d(3)},{d(3)},{d(3)}", f"{d(1)}.{d(2)}.{d(4)}", f"{d(6)}.{d(2)}", f"{d(12)}", f"20{d(2)}-20{d(2)}", f"97{rng.choice('89')}-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"4{d(15)}", f"{d(20)}", f"{d(3)}.9{d(2)}.{d(3)}.{d(3)}"])
+    return rng.choice([f"20{d(2)}-0{rng.randrange(1, 10)}-1{d(1)}", f"1{d(1)}.0{rng.randrange(1, 10)}.20{d(2)}", f"1{d(1)}/0{rng.randrange(1, 10)}/20{d(2)}", f"{d(7)}", f"{d(9)}", f"{d(3)},{d(3)},{d(3)}", f"{d(1)}.{d(2)}.{d(4)}", f"{d(6)}.{d(2)}", f"{d(12)}", f"20{d(2)}-20{d(2)}", f"97{rng.choice('89')}-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"4{d(15)}", f"{d(20)}", f"{d(3)}.9{d(2)}.{d(3)}.{d(3)}"])
 
 
 def learn(samples: list[str], rounds: int = ROUNDS, seed: int = 9) -> Model:

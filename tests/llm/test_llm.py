@@ -466,6 +466,22 @@ def test_pii_query_and_added_spans(spark, sf_dir):
     assert pii.find(odd(spark), model).count() == len(ODD) and pii.find(empty(spark), model).count() == 0 and pii.learn([]).spans("x@y.zz") == [("email", 0, 6)]
 
 
+def test_pii_regions_hold_whole_spelled_addresses():
+    tail = " and so on for a while"
+    for entity in ("jane.roe [at] example [dot] com", "jane.roe[at]mail [dot] example [dot] com", "jane.roe (at) mail (dot) example (dot) co (dot) uk", "jane.roe at example dot com", "jane.roe@example.com", "555/123/4567"):
+        text = "please write to " + entity + tail
+        a = text.index(entity)
+        assert any(lo <= a and a + len(entity) <= hi for lo, hi in pii.regions(text)), entity
+    assert pii.regions("we met at noon, a polka dot dress; 1/2") == []
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    samples = [f"write to {name()}.{name()}@{name()}.{rng.choice(['com', 'org', 'mail.net'])} or" for _ in range(150)] + [f"call +1 {rng.randrange(200, 999)} {rng.randrange(200, 999)} {rng.randrange(1000, 9999)} now" for _ in range(150)]
+    model = pii.learn(samples)
+    for entity in ("jane.roe [at] example [dot] com", "jane.roe[at]mail [dot] example [dot] com", "jane.roe at example dot com"):
+        text = "please write to " + entity + " or"
+        assert model.spans(text) == [("email", 16, 16 + len(entity))], entity
+
+
 # 10
 
 
