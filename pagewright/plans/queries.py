@@ -404,6 +404,12 @@ def record_merge_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.merge_block(stored, table(spark, sf_dir, "labels").select("doc_id", "quality"), ["doc_id"], ["quality"])
 
 
+@query("SELECT coalesce(c.doc_id, l.doc_id) AS doc_id, c.lang, coalesce(l.quality, 0) AS quality FROM documents c FULL JOIN labels l USING (doc_id)")
+def record_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "documents").select("doc_id", "lang", F.lit(0).alias("quality"))
+    return records.merge_block(stored, table(spark, sf_dir, "labels").select("doc_id", "quality"), ["doc_id"], ["quality"])
+
+
 _LICENCES = ", ".join(f"('{name}', {rank})" for rank, name in enumerate(records.LICENSE_RANK))
 
 
@@ -440,6 +446,14 @@ def line_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modelling.context(lines_of(spark, sf_dir), "line_num = 3").select("file", "page_num", "line_num", "context")
 
 
+@query(
+    f"""WITH {_LINES} SELECT {_KEY}, concat_ws(chr(10), lag(text, 2) OVER w, lag(text) OVER w, '>>' || text || '<<', lead(text) OVER w, lead(text, 2) OVER w) AS context
+  FROM lines WINDOW w AS (PARTITION BY file, page_num ORDER BY line_num)"""
+)
+def line_context_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modelling.context(lines_of(spark, sf_dir)).select("file", "page_num", "line_num", "context")
+
+
 @query(f"WITH {_JUDGED} SELECT CAST(least(floor(quality_score * 10), 9) AS INTEGER) AS bin, categ, count(*) AS n, round(avg(quality_score), 9) AS mean_score FROM judged GROUP BY ALL")
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modelling.score_histogram(judged(spark, sf_dir)).withColumn("mean_score", F.round("mean_score", 9))
@@ -462,4 +476,4 @@ def paired_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def corrupted_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modelling.dataset(lines_of(spark, sf_dir).where("length(text) > 40"))
+    return modelling.dataset(lines_of(spark, sf_dir))

@@ -152,6 +152,20 @@ def test_queries_equal_sql(spark, sf_dir, name):
     assert rows_of(QUERIES[name](spark, sf_dir).toPandas()) == rows_of(duck(ORACLES[name], sf_dir))
 
 
+@pytest.mark.parametrize("name", ["line_context_all", "record_merge_all"])
+def test_whole_table_queries(spark, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir)
+    assert rows_of(got.toPandas()) == rows_of(duck(ORACLES[name], sf_dir))
+    part = QUERIES[{"line_context_all": "line_context", "record_merge_all": "record_merge_block"}[name]](spark, sf_dir)
+    assert got.count() > part.count() or name == "record_merge_all"
+
+
+def test_corrupted_variants_take_every_line(spark, sf_dir):
+    lines = QUERIES["lines_explode"](spark, sf_dir).where("length(text) BETWEEN 1 AND 40").select("file", "page_num", "line_num").distinct()
+    got = QUERIES["corrupted_variants"](spark, sf_dir).select("file", "page_num", "line_num").distinct()
+    assert lines.count() > 0 and lines.join(got, ["file", "page_num", "line_num"]).count() > 0
+
+
 def test_entry_imports_and_names():
     import __spark_entry__
 
