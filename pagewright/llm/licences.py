@@ -1,6 +1,6 @@
 """License scans (operator 2).
 
-A line, or a whole file, is compared with licence templates by sparse TF-IDF
+A line, a run of lines, or a whole file, is compared with licence templates by sparse TF-IDF
 cosine. A file without a licence of its own takes that of the nearest ancestor
 directory with a licence file, by joins on the paths of directories.
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .storage import cut, small_side
 
 THRESHOLD = 0.8
+#: Lines of a wrapped statement, at most.
+WINDOW = 16
 
 # Licence statements as they are commonly written, by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
@@ -32,6 +34,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -78,6 +81,7 @@ class Matcher:
                     needles.add(w)
                     left -= x * x
         self.needles = sorted(needles)
+        self.most = 2 * max(map(Counter.total, bags))
 
     def _vector(self, bag: Counter[str]) -> dict[str, float]:
         got = {w: n * self.idf.get(w, self.rare) for w, n in bag.items()}
@@ -93,8 +97,24 @@ class Matcher:
         k = min(dots, key=lambda i: (-round(dots[i], 12), i), default=None)
         return (self.names[k], min(1.0, dots[k])) if k is not None and dots[k] >= self.threshold else (None, 0.0)
 
+    def _windows(self, lines: list[str], hits: list[int]) -> Iterator[tuple[int, int]]:
+        """First and last line of every run of 2 to WINDOW lines that holds one of hits, ends in lines with words and has no more words than twice the longest template."""
+        sizes: dict[int, int] = {}
+        done = -1
+        for hit in hits:
+            for first in range(max(0, done + 1, hit - WINDOW + 1), hit + 1):
+                done, total = first, 0
+                for last in range(first, min(len(lines), first + WINDOW)):
+                    if last not in sizes:
+                        sizes[last] = len(_WORD.findall(lines[last]))
+                    total += sizes[last]
+                    if total > self.most or not sizes[first]:
+                        break
+                    if last > first and last >= hit and sizes[last]:
+                        yield first, last
+
     def scan(self, text: str | None) -> tuple[str | None, float, int | None, int]:
-        """Best licence of any line or of the whole text, its cosine, its line (-1: the whole) and the number of lines."""
+        """Best licence of any line, run of lines or the whole text, its cosine, its line (-1: the whole; of a run the first, or the last if it is the last of the text) and the number of lines."""
         if not text:
             return None, 0.0, None, 0
         low = text.lower()
@@ -102,12 +122,16 @@ class Matcher:
         if not any(w in low for w in self.needles):
             return None, 0.0, None, n
         best: tuple[str | None, float, int | None] = (None, 0.0, None)
-        for i, line in enumerate(text.split("\n")):
-            here = line.lower()
-            if any(w in here for w in self.needles):
-                name, value = self.score(line)
-                if name and value > best[1]:
-                    best = name, value, i
+        lines = text.split("\n")
+        hits = [i for i, line in enumerate(lines) if any(w in line.lower() for w in self.needles)]
+        for i in hits:
+            name, value = self.score(lines[i])
+            if name and value > best[1]:
+                best = name, value, i
+        for first, last in self._windows(lines, hits):
+            name, value = self.score("\n".join(lines[first : last + 1]))
+            if name and value > best[1]:
+                best = name, value, n - 1 if last == n - 1 else first
         if n > 1:
             name, value = self.score(text)
             if name and value > best[1]:

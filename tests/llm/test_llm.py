@@ -124,6 +124,20 @@ def test_licences(spark):
     assert licences.resolve(files.limit(0)).count() == 0
 
 
+def test_wrapped_licences():
+    import textwrap
+
+    m = licences.Matcher()
+    mit, gpl = (next(t for _, t in licences.TEMPLATES if t.startswith(x) and len(t) > 220) for x in ("Permission is hereby", "This program is free"))
+    mit = max((t for _, t in licences.TEMPLATES if t.startswith("Permission is hereby")), key=len)
+    rest = 'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED'
+    whole = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + textwrap.fill(mit, 78) + "\n\n" + rest
+    assert m.scan(whole)[0] == "MIT"
+    header = textwrap.fill(gpl, 70, initial_indent="# ", subsequent_indent="# ")
+    assert m.scan("#!/usr/bin/env python\n#\n" + header + "\n#\n\nimport os\n" + "print(os.name)\n" * 40)[0] == "GPL-3.0"
+    assert m.scan("no licence is named here\nfor the software\nof the program")[0] is None
+
+
 def test_licence_needles_lose_nothing():
     m = licences.Matcher()
     rng, vocabulary = random.Random(3), sorted({w for _, t in licences.TEMPLATES for w in licences.words(t)})
