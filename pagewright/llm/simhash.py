@@ -85,20 +85,45 @@ def _ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for d in range(radius + 1) for bits in combinations(range(width), d)]
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Distinct fingerprints (column fp) -> every pair a < b (as signed longs) at distance radius or less."""
+def _tables(fps: DataFrame, radius: int, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Segment tables (b and columns under k, v) and every probe of them (a and columns)."""
     table, probe = [], []
     for k, (shift, width, r) in enumerate(segments(best_count(fps.count(), radius), radius)):
         value = f"shiftrightunsigned(fp, {shift}) & {(1 << width) - 1}L" if width < 64 else "fp"
         table.append(f"named_struct('k', {k}, 'v', {value})")
         masks = ", ".join(f"{m}L" for m in _ball(width, r))
         probe.append(f"transform(array({masks}), m -> named_struct('k', {k}, 'v', ({value}) ^ m))")
-    held = fps.select(F.col("fp").alias("b"), F.expr(f"inline(array({', '.join(table)}))"))
-    asked = fps.select(F.col("fp").alias("a"), F.expr(f"inline(concat({', '.join(probe)}))"))
+    held = fps.select(F.col("fp").alias("b"), *columns, F.expr(f"inline(array({', '.join(table)}))"))
+    asked = fps.select(F.col("fp").alias("a"), *columns, F.expr(f"inline(concat({', '.join(probe)}))"))
+    return held, asked
+
+
+def links(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """Distinct fingerprints (column fp) -> every pair a < b (as signed longs) at distance radius or less."""
+    held, asked = _tables(fps, radius)
     found = asked.join(held, (asked.k == held.k) & (asked.v == held.v) & (asked.a < held.b) & (F.bit_count(asked.a.bitwiseXOR(held.b)) <= radius))
     return found.select("a", "b").distinct()
 
 
+def star_links(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """Links whose components are those of all of links(), a row for each probe at most but for pairs of different stars.
+
+    Each probe is answered by the least fingerprint of its table place first.
+    Places whose fingerprints all are one group by then are done; what others
+    hold is compared in pairs, where the groups differ.
+    """
+    held, asked = _tables(fps, radius)
+    least = held.groupBy("k", "v").agg(F.min("b").alias("b"))
+    near = "bit_count(a ^ b) <= " + str(radius)
+    stars = cut(asked.join(least, ["k", "v"]).where(f"a <> b AND {near}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    label = small_side(connected_components(stars).select(F.col("node").alias("fp"), F.col("component").alias("part")))
+    parted = cut(fps.join(label, "fp", "left").select("fp", F.coalesce("part", "fp").alias("part")))
+    held, asked = _tables(parted, radius, "part")
+    held = held.withColumnRenamed("part", "other")
+    rest = asked.join(held, ["k", "v"]).where(f"a < b AND part <> other AND {near}").select("a", "b").distinct()
+    return stars.unionByName(cut(rest))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable).
 
@@ -108,7 +133,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFra
     """
     prints = cut(fingerprints(docs, words))
     kinds = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    parts = connected_components(links(kinds.select("fp"), radius))
+    parts = connected_components(star_links(kinds.select("fp"), radius))
     of_kind = kinds.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = cut(of_kind.groupBy("component").agg(F.min("first").alias("component_id")))
     of_kind = cut(of_kind.join(least, "component").select("fp", "component_id"))
