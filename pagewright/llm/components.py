@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, drop
 
 SALTS = 64
 
@@ -42,9 +42,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
         .distinct()
     )
-    e = cut(e)
-    loops = e.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
-    e = e.where("u > v")
+    table = first = cut(e)
+    loops = first.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
+    e = first.where("u > v")
     done = False
     while not done:
         both = e.select(F.expr("inline(array(struct(u, v), struct(v AS u, u AS v)))"))
@@ -52,6 +52,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = cut(_with_minimum(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = _with_minimum(large).select(F.expr("inline(array(struct(u, m AS v), struct(v AS u, m AS v)))"))
         e = cut(small.where("u > v").distinct())
+        drop(large, *([table] if table is not first else []))
+        table = e
         # stars are all that is left once every u has one v and no v is a u
         ends = e.select(F.expr("inline(array(struct(u AS node, 1 AS below), struct(v AS node, 0 AS below)))"))
         ends = ends.groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("least"))
