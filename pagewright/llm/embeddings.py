@@ -7,18 +7,22 @@ enough collisions are verified by their cosine in double precision. The count
 that is enough is calibrated so that a pair exactly at the threshold is lost
 with probability LOSS at most.
 
-Equal vectors are one class from the start. Classes are sorted along the first
-line and dealt into blocks of bounded size, written to the shared folder; only
-blocks whose windows on that line overlap are compared. A comparison returns
-sums of links and a spanning forest, never its pairs.
+One window holds a quarter of all pairs, so no single line is ever joined on:
+tables sort the vectors by which side of the middle they lie on several further
+lines at once, and collisions are counted for pairs that share a place in some
+table. The number of those lines grows with the logarithm of the vectors, so that
+a place holds about BUCKET of them, and the number of tables follows from LOSS.
+
+Equal vectors are one class from the start. A place of more than BLOCK classes is
+compared in blocks. A comparison returns sums of links and a spanning forest,
+never its pairs; a pair is counted in the first table that it shares.
 """
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil, sqrt
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .files import open_fs, write_whole
-from .storage import cut, fresh_path
+from .storage import cut, drop, small_side
 
 LINES = 32
-BLOCK = 1024
-#: Vectors that the borders of the strips are read from, and strips at most.
-SAMPLE, STRIPS = 20_000, 4_096
-LOSS = 0.002
-#: A vector's window on a line, in standard deviations of a threshold pair's difference; on the first line it is wide.
-WINDOW, WIDE = 1.6, 4.0
+#: Classes to a place of a table, about, and classes to a block, at most.
+BUCKET, BLOCK = 2_048, 8_192
+LOSS, TABLE_LOSS = 0.002, 0.005
+#: A vector's window on a line, in standard deviations of a threshold pair's difference.
+WINDOW = 1.6
 SCALE = 256 / 11.8  # steps of a byte over +-5.9
 
 
@@ -44,6 +46,27 @@ def lines(dim: int) -> np.ndarray:
     return np.random.default_rng([20, dim]).standard_normal((dim, LINES))
 
 
+@lru_cache(16)
+def sides(dim: int, tables: int, count: int) -> np.ndarray:
+    """The further lines of the tables."""
+    return np.random.default_rng([22, dim]).standard_normal((dim, tables * count))
+
+
+def table_shape(n: int, threshold: float) -> tuple[int, int]:
+    """Tables, and lines to each, for n classes: a pair at the threshold shares no place with probability TABLE_LOSS at most."""
+    count = max(0, ceil(log2(max(1, n) / BUCKET)))
+    together = (1 - acos(max(-1.0, min(1.0, threshold))) / pi) ** count
+    return (1, 0) if count == 0 else (ceil(log(TABLE_LOSS) / log(1 - together)) if together < 1 else 1, count)
+
+
+def places(x: np.ndarray, tables: int, count: int) -> np.ndarray:
+    """The place of each unit vector in each table."""
+    if not count:
+        return np.zeros((len(x), tables), np.int64)
+    bits = (x @ sides(x.shape[1], tables, count) > 0).reshape(len(x), tables, count)
+    return bits @ (1 << np.arange(count, dtype=np.int64))
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1 without overflow."""
     x = x / np.abs(x).max(1, keepdims=True)
@@ -92,8 +115,11 @@ def _smallest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare(left: dict[str, np.ndarray], right: dict[str, np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Verified links of two blocks (or within one): class, vectors linked, a class of its group here."""
+def compare(left: dict[str, np.ndarray], right: dict[str, np.ndarray] | None, threshold: float, table: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Verified links of two blocks (or within one) that share no place in an earlier table: class, vectors linked, a class of its group here.
+
+    A block: cid, n (vectors of each class), x (unit vectors), at (places by table).
+    """
     own = right is None
     other = left if own else right
     na, nb = len(left["cid"]), len(other["cid"])
@@ -112,6 +138,9 @@ def compare(left: dict[str, np.ndarray], right: dict[str, np.ndarray] | None, th
             i, j = i[i < j], j[i < j]
         for s in range(0, len(i), 20_000):
             ii, jj = i[s : s + 20_000], j[s : s + 20_000]
+            for t in range(table):
+                new = left["at"][ii, t] != other["at"][jj, t]
+                ii, jj = ii[new], jj[new]
             ok = np.einsum("ij,ij->i", left["x"][ii], other["x"][jj]) >= threshold
             found_i.append(ii[ok])
             found_j.append(jj[ok])
@@ -125,20 +154,6 @@ def compare(left: dict[str, np.ndarray], right: dict[str, np.ndarray] | None, th
     return cid[touched], degree[touched].astype(np.int64), cid[label[touched]]
 
 
-def _save(block: dict[str, np.ndarray]) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **block)
-    return out.getvalue()
-
-
-@lru_cache(8)
-def _load(uri: str) -> dict[str, np.ndarray]:
-    system, path = open_fs(uri)
-    with system.open_input_file(path) as f:
-        got = np.load(io.BytesIO(f.read()))
-        return {k: got[k] for k in got.files}
-
-
 def _vectors(column: pa.Array) -> np.ndarray:
     """Equal-length lists as a matrix of doubles."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -149,67 +164,59 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing, nor do vectors of different length; equal vectors link. Null
-    ids get links but never name a component. Repeated rows are vectors each.
+    ids get links but never name a component. Repeated rows are vectors each;
+    other columns aren't looked at; an empty table gives an empty result.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
-    fine = F.expr("coalesce(size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0), false)")
-    rows = cut(rows.withColumn("embedding", F.when(fine, F.col("embedding"))))
-    classes = cut(rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")))
-    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")))
-
-    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
-    borders: dict[int, np.ndarray] = {}
-    for dim, n in sizes.items():
-        share = F.pmod(F.xxhash64("cid"), F.lit(2**31)) < min(2**31, int(2**31 * SAMPLE / n) + 1)
-        got = classes.where((F.col("dim") == dim) & share).select("embedding").toPandas()["embedding"]
-        line = np.sort(unit(np.stack(got.to_list()) if len(got) else np.ones((1, dim))) @ lines(dim)[:, 0])
-        borders[dim] = line[np.linspace(0, len(line) - 1, min(STRIPS, ceil(n / BLOCK)) + 1).astype(int)[1:-1]]
-
-    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    fine = F.expr("coalesce(size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0), false)")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("v")).withColumn("v", F.when(fine, F.col("v")))
+    rows = rows.select("vec_id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"))
+    ids = cut(rows.drop("v"))
+    classes = rows.where("v IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    tables, count = table_shape(classes.count(), threshold)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = batch.column(2).to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                on = unit(_vectors(part.column(3))) @ lines(int(dim))[:, 0]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.searchsorted(borders[int(dim)], on).astype(np.int32)), pa.array(on)], names=[*part.schema.names, "strip", "place"])
-
-    placed = cut(classes.select("cid", "n", "dim", "embedding").mapInArrow(strip, "cid long, n long, dim int, embedding array<double>, strip int, place double"))
-    parts = F.broadcast(placed.groupBy("dim", "strip").count().withColumn("parts", F.ceil(F.col("count") / BLOCK)).drop("count"))  # at most STRIPS rows a dimension
-    placed = placed.join(parts, ["dim", "strip"]).withColumn("sub", F.pmod(F.xxhash64("cid"), F.col("parts")))
-    folder = fresh_path(spark, "vector-blocks")
-
-    def write(group: pa.Table) -> pa.Table:
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            for dim in np.unique(sizes):
+                part = batch.filter(pa.array(sizes == dim))
+                at = places(unit(_vectors(part.column(2))), tables, count)
+                listed = pa.ListArray.from_arrays(np.arange(0, at.size + 1, tables, dtype=np.int32), pa.array(at.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, listed], names=[*part.schema.names, "at"])
+
+    placed = classes.select("cid", "n", "v").mapInArrow(place, f"cid long, n long, v {kind}, at array<bigint>")
+    placed = cut(placed.withColumn("dim", F.size("v")))
+    placed_once = placed.select("cid", "dim", F.posexplode("at").alias("t", "place"))
+    crowded = placed_once.groupBy("dim", "t", "place").count().where(F.col("count") > BLOCK)
+    crowded = small_side(crowded.select("dim", "t", "place", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")))
+    dealt = placed.select("*", F.posexplode("at").alias("t", "place")).join(crowded, ["dim", "t", "place"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("own", F.expr("cast(pmod(xxhash64(cid), parts) AS int)")).withColumn("with", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = dealt.withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with"))
+
+    def search(group: pa.Table) -> pa.Table:
         group = group.sort_by("cid").combine_chunks()
-        dim, name, sub = (group[c][0].as_py() for c in ("dim", "strip", "sub"))
-        path = f"{folder}/{dim}-{name}-{sub}.npz"
-        x = unit(_vectors(group["embedding"].chunk(0)))
-        data = _save({"cid": group["cid"].to_numpy(), "n": group["n"].to_numpy(), "x": x})
-        write_whole(path, lambda out: out.write(data))
-        place = group["place"].to_numpy()
-        return pa.table({"dim": pa.array([dim], pa.int32()), "path": [path], "lo": [place.min()], "hi": [place.max()]})
-
-    blocks = cut(placed.groupBy("dim", "strip", "sub").applyInArrow(write, "dim int, path string, lo double, hi double"))
-    wide = max(1e-6, WIDE * _spread(threshold))
-    cells = blocks.withColumn("cell0", F.floor(F.col("lo") / wide)).withColumn("cell", F.explode(F.expr(f"sequence(cell0, cast(floor((hi + {wide}) / {wide}) AS long))")))
-    a, b = cells.alias("a"), cells.alias("b")
-    pairs = a.join(b, F.expr(f"a.dim = b.dim AND a.cell = b.cell AND a.cell = greatest(a.cell0, b.cell0) AND a.path <= b.path AND a.lo <= b.hi + {wide} AND b.lo <= a.hi + {wide}"))
-    pairs = cut(pairs.select(F.col("a.path").alias("x"), F.col("b.path").alias("y")))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = compare(_load(x), None if x == y else _load(y), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(g) for g in got], names=["cid", "links", "other"])
+        own, lo, hi, t = group["own"].to_numpy(), group["lo"][0].as_py(), group["hi"][0].as_py(), group["t"][0].as_py()
+
+        def block(which: int) -> dict[str, np.ndarray] | None:
+            part = group.filter(pa.array(own == which)).combine_chunks()
+            if not len(part):
+                return None
+            at = part["at"].chunk(0).flatten().to_numpy().reshape(len(part), -1)
+            return {"cid": part["cid"].to_numpy(), "n": part["n"].to_numpy(), "x": unit(_vectors(part["v"].chunk(0))), "at": at}
+
+        left, right = block(lo), block(hi) if hi != lo else None
+        got = compare(left, right, threshold, t) if left and (right or hi == lo) else [np.zeros(0, np.int64)] * 3
+        return pa.table([pa.array(g) for g in got], names=["cid", "links", "other"])
 
-    tasks = max(1, min(20_000, ceil(pairs.count() / 8)))
-    found = cut(pairs.repartition(tasks).mapInArrow(search, "cid long, links long, other long"))
+    found = cut(dealt.groupBy("dim", "t", "place", "lo", "hi").applyInArrow(search, "cid long, links long, other long"))
+    drop(placed)
     near = found.groupBy("cid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("cid", "other"), "cid", "other").withColumnRenamed("node", "cid")
-    info = classes.select("cid", "embedding", "first", "n").join(parts, "cid", "left").join(near, "cid", "left")
+    info = classes.select("cid", "k1", "k2", "first", "n").join(parts, "cid", "left").join(near, "cid", "left")
     info = cut(info.withColumn("component", F.coalesce("component", "cid")))
     least = cut(info.groupBy("component").agg(F.min("first").alias("component_id")))
-    info = cut(info.join(least, "component").select("embedding", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
-    out = rows.join(info, "embedding", "left")
-    component = F.when(F.col("embedding").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    info = small_side(info.join(least, "component").select("k1", "k2", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    linked = ids.where("k1 IS NOT NULL").join(info, ["k1", "k2"]).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    alone = ids.where("k1 IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    return linked.unionByName(alone)

@@ -14,8 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a few longs that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of their table, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,6 +64,13 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """df, computed and counted; marked for broadcast if it is small, else left to a shuffle join."""
+    """df, computed, counted and weighed; marked for broadcast if it is small, else left to a shuffle join."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    sc = df.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    size = where.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    if size > BROADCAST_BYTES or df.count() > BROADCAST_ROWS:
+        return df
+    marked = F.broadcast(df)
+    marked._cut_path = df._cut_path
+    return marked
