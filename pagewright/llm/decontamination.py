@@ -133,7 +133,8 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, threshold: fl
 
     docs has doc_id and text, items item_id and text; other columns aren't looked
     at. Null and empty texts match nothing; an item of fewer than size words
-    counts as one shingle; null ids are carried; repeated rows give repeated rows.
+    counts as one shingle; null ids are carried; repeated rows give repeated rows;
+    texts of any length are searched whole, in parts.
     """
     spark = docs.sparkSession
     docs, items = docs.select(F.col("doc_id").cast("long"), "text"), items.select(F.col("item_id").cast("long"), "text")

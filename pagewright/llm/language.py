@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textvec import lower_letters
 
@@ -121,12 +122,11 @@ def learn(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Profi
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
 
     counted = labelled.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the sample is bounded, and so is what comes here
-    rows = sorted((r["lang"], -r["n"], r["gram"]) for r in counted.collect())
+    # at most PROFILE grams of each of MAX_LANGUAGES languages come to the driver
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranked: dict[str, list[int]] = {}
-    for lang, _, gram in rows:
-        if len(mine := ranked.setdefault(lang, [])) < PROFILE:
-            mine.append(gram)
+    for r in sorted(counted.withColumn("place", place).where(F.col("place") <= PROFILE).collect(), key=lambda r: (r["lang"], r["place"])):
+        ranked.setdefault(r["lang"], []).append(r["gram"])
     return Profiles(ranked)
 
 
@@ -135,6 +135,8 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     Null text and text without a letter give und and 0, as does a score of 0
     never otherwise: it means that no profile knows any of the text's grams.
+    Texts of any length are read whole, in parts; ties go to the first language by
+    name; repeated rows stay rows; an empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(profiles)  # at most MAX_LANGUAGES * PROFILE ranks
     docs = docs.drop("lang_pred", "score")
@@ -146,5 +148,4 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
             names, scores = [g[0] for g in got], [g[1] for g in got]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -1,8 +1,10 @@
 """License scans (operator 2).
 
-A line, a run of lines, or a whole file, is compared with licence templates by sparse TF-IDF
-cosine. A file without a licence of its own takes that of the nearest ancestor
-directory with a licence file, by joins on the paths of directories.
+A line, a run of lines (a header, a paragraph), or a whole file, is compared with
+licence templates by sparse TF-IDF cosine. A file without a licence of its own
+takes that of the nearest ancestor directory with a licence file, by joins on the
+paths of directories. A licence file is one that is named so, or has no words but
+the statement; a header in one file licenses no other.
 
 Most text is never tokenised: a line can only reach the threshold if it holds
 one of the few heaviest words of a template (without them the cosine can't get
@@ -36,6 +38,14 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
@@ -75,12 +85,15 @@ class Matcher:
         for k, bag in enumerate(bags):
             vector = self._vector(bag)
             left = 1.0
-            for w, x in sorted(vector.items(), key=lambda p: (-p[1], p[0])):
+            # long words first among the heavy ones: they are rare in other texts
+            for w, x in sorted(vector.items(), key=lambda p: (-p[1] * len(p[0]), p[0])):
                 self.postings.setdefault(w, []).append((k, x))
                 if sqrt(max(0.0, left)) >= threshold:
                     needles.add(w)
                     left -= x * x
         self.needles = sorted(needles)
+        self._long = [w for w in self.needles if len(w) > 4]
+        self._short = re.compile(rf"(?<![^\W_])(?:{'|'.join(w for w in self.needles if len(w) <= 4) or '(?!)'})(?![^\W_])")
         self.most = 2 * max(map(Counter.total, bags))
 
     def _vector(self, bag: Counter[str]) -> dict[str, float]:
@@ -97,6 +110,10 @@ class Matcher:
         k = min(dots, key=lambda i: (-round(dots[i], 12), i), default=None)
         return (self.names[k], min(1.0, dots[k])) if k is not None and dots[k] >= self.threshold else (None, 0.0)
 
+    def may_match(self, low: str) -> bool:
+        """Whether a lower-case text holds a needle, the short ones as whole words."""
+        return any(w in low for w in self._long) or bool(self._short.search(low))
+
     def _windows(self, lines: list[str], hits: list[int]) -> Iterator[tuple[int, int]]:
         """First and last line of every run of 2 to WINDOW lines that holds one of hits, ends in lines with words and has no more words than twice the longest template."""
         sizes: dict[int, int] = {}
@@ -113,37 +130,32 @@ class Matcher:
                     if last > first and last >= hit and sizes[last]:
                         yield first, last
 
-    def scan(self, text: str | None) -> tuple[str | None, float, int | None, int]:
-        """Best licence of any line, run of lines or the whole text, its cosine, its line (-1: the whole; of a run the first, or the last if it is the last of the text) and the number of lines."""
-        if not text:
-            return None, 0.0, None, 0
-        low = text.lower()
-        n = text.count("\n") + 1
-        if not any(w in low for w in self.needles):
-            return None, 0.0, None, n
-        best: tuple[str | None, float, int | None] = (None, 0.0, None)
+    def scan(self, text: str | None) -> tuple[str | None, float, int | None, bool]:
+        """Best licence of any line, run of lines or the whole text, its cosine, its first line (-1: the whole text), and whether no word lies outside it."""
+        low = (text or "").lower()
+        if not self.may_match(low):
+            return None, 0.0, None, False
+        best: tuple[str | None, float, int | None, int] = (None, 0.0, None, 0)
         lines = text.split("\n")
-        hits = [i for i, line in enumerate(lines) if any(w in line.lower() for w in self.needles)]
-        for i in hits:
-            name, value = self.score(lines[i])
-            if name and value > best[1]:
-                best = name, value, i
-        for first, last in self._windows(lines, hits):
+        hits = [i for i, line in enumerate(lines) if self.may_match(line.lower())]
+        units = [(i, i) for i in hits] + list(self._windows(lines, hits))
+        for first, last in units:
             name, value = self.score("\n".join(lines[first : last + 1]))
             if name and value > best[1]:
-                best = name, value, n - 1 if last == n - 1 else first
-        if n > 1:
-            name, value = self.score(text)
-            if name and value > best[1]:
-                best = name, value, -1
-        return *best, n
+                best = name, value, first, last
+        name, value = self.score(text) if len(lines) > 1 else (None, 0.0)
+        if name and value > best[1]:
+            best = name, value, -1, len(lines) - 1
+        name, value, first, last = best
+        whole = name is not None and not any(_WORD.search(x) for x in (*lines[: max(0, first)], *lines[last + 1 :]))
+        return name, value, first, whole
 
 
 def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """files (key, path, text) -> key, path, licence, score, is_file.
 
-    is_file: the path names a licence file, or the statement is the text's first
-    or last line, or the whole of it; its directory then passes the licence on.
+    is_file: the path names a licence file, or the text has no words but the
+    statement; its directory then passes the licence on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +164,7 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         for batch in batches:
             got = [matcher.scan(t) for t in batch.column(2).to_pylist()]
             paths = batch.column(1).to_pylist()
-            ends = [bool(name and (line in (-1, 0, n - 1) or p and named.search(p))) for (name, _, line, n), p in zip(got, paths, strict=True)]
+            ends = [bool(name and (whole or p and named.search(p))) for (name, _, _, whole), p in zip(got, paths, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(ends, pa.bool_())],
                 names=["key", "path", "licence", "score", "is_file"],
@@ -167,8 +179,10 @@ def resolve(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     distance is 0 for an own licence, else how many directories up the licence
     lies (its directory: inherited_from; the root is ''). Of several licence
     files in a directory the one with the highest score counts, then the first by
-    licence. Null texts have no own licence; null paths inherit nothing; repeated
-    rows stay rows.
+    licence. Null, empty and blank texts have no own licence and inherit like
+    others; texts of any length are read whole; null paths inherit nothing;
+    repeated rows stay rows; other columns aren't looked at; an empty table gives
+    an empty result.
     """
     own = cut(own_licences(files, templates, threshold))
     folder = F.expr("CASE WHEN instr(path, '/') = 0 THEN '' ELSE regexp_replace(path, '/[^/]*$', '') END")
@@ -178,7 +192,10 @@ def resolve(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     # folders of files without a licence, once each, with all their ancestors
     needing = own.where("licence IS NULL AND path IS NOT NULL").select(folder.alias("home")).distinct()
     up = needing.select("home", F.posexplode(F.expr("transform(sequence(size(split(home, '/')), 0, -1), i -> array_join(slice(split(home, '/'), 1, i), '/'))")).alias("up", "folder"))
-    nearest = up.join(folders, "folder").groupBy("home").agg(F.min(F.struct("up", "folder", "passed")).alias("near"))
+    # the root lies above every folder: its one row is joined apart
+    found = up.where("folder <> ''").join(folders.where("folder <> ''"), "folder")
+    found = found.unionByName(up.where("folder = ''").join(F.broadcast(folders.where("folder = ''")), "folder"))
+    nearest = found.groupBy("home").agg(F.min(F.struct("up", "folder", "passed")).alias("near"))
     nearest = small_side(nearest.select("home", "near.up", "near.folder", "near.passed"))
     out = own.withColumn("home", F.when(F.col("licence").isNull(), folder)).join(nearest, "home", "left")
     return out.select(

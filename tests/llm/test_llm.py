@@ -579,3 +579,205 @@ def test_queries_equal_sql(spark, sf_dir, name):
     want, got = c.sql(oracle_sql()[name]).df(), queries()[name](spark, sf_dir).toPandas()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns and sorted(map(tuple, got[columns].values.tolist())) == sorted(map(tuple, want[columns].values.tolist()))
+
+
+def test_licences_by_brute_force():
+    """Cosines over every unit, computed apart from the matcher's postings and needles."""
+    from math import log
+
+    bags = [Counter(re.findall(r"[^\W_]+", t.lower())) for _, t in licences.TEMPLATES]
+    held = Counter(w for b in bags for w in b)
+    most = 2 * max(sum(b.values()) for b in bags)
+
+    def vector(text):
+        bag = Counter(re.findall(r"[^\W_]+", text.lower()))
+        weighed = {w: n * (1 + log(len(bags) / held[w]) if w in held else 1 + log(len(bags))) for w, n in bag.items()}
+        norm = sum(x * x for x in weighed.values()) ** 0.5
+        return {w: x / norm for w, x in weighed.items()} if norm else {}
+
+    templates = [vector(t) for _, t in licences.TEMPLATES]
+
+    def best(text):
+        v = vector(text)
+        scores = [sum(x * t.get(w, 0) for w, x in v.items()) for t in templates]
+        top = max(scores)
+        return (licences.TEMPLATES[scores.index(top)][0], top) if top >= 0.8 else (None, 0.0)
+
+    def brute(text):
+        lines = text.split("\n")
+        n_words = [len(re.findall(r"[^\W_]+", x)) for x in lines]
+        units = [(i, i) for i in range(len(lines))]
+        units += [(i, j) for i in range(len(lines)) for j in range(i + 1, min(len(lines), i + licences.WINDOW)) if n_words[i] and n_words[j] and sum(n_words[i : j + 1]) <= most]
+        return max([best("\n".join(lines[a : b + 1])) for a, b in units] + [best(text)], key=lambda x: x[1])
+
+    rng, m = random.Random(22), licences.Matcher()
+    vocabulary = ["alpha", "beta", "gamma", "the", "of", "to", "import", "x1", "return"]
+    for _ in range(150):
+        lines = [" ".join(rng.choices(vocabulary, k=rng.randrange(0, 9))) for _ in range(rng.randrange(0, 14))]
+        name, template = rng.choice(licences.TEMPLATES)
+        words = [w for w in template.split() if rng.random() < rng.choice([0.75, 0.95, 1.0])]
+        wrapped = [f"# {' '.join(words[i : i + 9])}" for i in range(0, len(words), 9)]
+        at = rng.randrange(len(lines) + 1)
+        text = "\n".join(lines[:at] + wrapped + lines[at:])
+        want = brute(text)
+        got = m.scan(text)
+        assert got[1] == pytest.approx(want[1]) and (got[0] is None) == (want[0] is None), text
+
+
+def test_ancestor_licences_by_brute_force(spark):
+    rng = random.Random(23)
+    statements = ["Released under the MIT License.", "Licensed under the BSD 3-Clause License.", "Licensed under CC BY 4.0."]
+    rows = []
+    for k in range(300):
+        folder = "/".join(rng.choice("abc") for _ in range(rng.randrange(0, 5)))
+        kind = rng.random()
+        name, text = (f"LICENSE{k}", rng.choice(statements) + "\nmore words of it") if kind < 0.05 else (f"f{k}.py", rng.choice(statements)) if kind < 0.08 else (f"f{k}.py", rng.choice(statements) + "\n" + "code " * 20) if kind < 0.2 else (f"f{k}.py", rng.choice(["code only", "", None, "the of"]))
+        rows.append((k, f"{folder}/{name}" if folder else name, text))
+    rows += [rows[0], (900, None, None), (901, "deep/x.py", "word " * 40_000)]
+    files = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "key int, path string, text string, folder string, passed string")
+    m = licences.Matcher()
+    folder_of = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
+    passing = {}
+    for _, path, text in rows:
+        name, score, _, whole = m.scan(text)
+        if name and path and (whole or path.rsplit("/", 1)[-1].startswith("LICENSE")):
+            passing.setdefault(folder_of(path), []).append((-score, name))
+    want = Counter()
+    for key, path, text in rows:
+        own = m.scan(text)[0]
+        found = (own, None, 0) if own else (None, None, None)
+        if not own and path is not None:
+            home, up = folder_of(path), 1
+            while True:
+                if home in passing:
+                    found = (min(passing[home])[1], home, up)
+                    break
+                if not home:
+                    break
+                home, up = folder_of(home), up + 1
+        want[(key, *found)] += 1
+    got = Counter((r["key"], r["licence"], r["inherited_from"], r["distance"]) for r in licences.resolve(files).collect())
+    assert got == want and sum(n for (_, _, home, _), n in want.items() if home) > 30
+    header = licences.resolve(files.where("path LIKE '%.py' AND text LIKE '%code code%'"))
+    assert header.where("distance > 0").count() == 0
+
+
+# repeated rows, crowds, several blocks
+
+
+def test_repeated_documents_keep_their_own_lines(spark):
+    a, b = "the same line of five words here", "another line of some other words"
+    docs = spark.createDataFrame([(7, a), (7, b), (1, a), (None, b), (None, None)], "doc_id long, text string").withColumn("gone", F.lit(1)).withColumn("_gone", F.lit(2)).withColumn("d", F.lit(3)).withColumn("g", F.lit(4))
+    got = Counter((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs, 1, None).collect())
+    assert got == Counter([(7, ""), (7, ""), (1, a), (None, b), (None, None)])
+    prints = line_dedup.line_fingerprints(docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text")))
+    assert prints.groupBy("k1", "k2").agg(F.countDistinct("simhash").alias("n")).where("n > 1").count() == 0
+
+
+def test_a_crowd_of_different_near_copies(spark, monkeypatch):
+    from pagewright.llm import linking
+
+    rng = random.Random(84)
+    base = [f"word{k}" for k in range(30)]
+    texts = []
+    for k in range(2000):
+        copy = list(base)
+        for i in rng.sample(range(30), 2):
+            copy[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    rows = []
+
+    def counted(pairs, fetch, same, f=linking._verified):
+        rows.append(pairs.count())
+        return f(pairs, fetch, same)
+
+    monkeypatch.setattr(linking, "_verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = line_dedup.dedup_lines(docs, 1, None).where("n_removed = 0").collect()
+    assert [r["doc_id"] for r in kept] == [0] and sum(rows) < 40 * len(texts)
+
+
+def test_star_links_have_the_components_of_all_links(spark, monkeypatch):
+    rng = random.Random(71)
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    fps = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 5))) for c in centres for _ in range(60)}
+    signed = sorted(int(np.uint64(f).astype(np.int64)) for f in fps)
+    df = spark.createDataFrame([(s,) for s in signed], "fp long")
+    pairs = [(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= 4]
+    found = [tuple(r) for r in simhash.star_links(df, 4).collect()]
+    assert groups(found, signed) == groups(pairs, signed) and set(found) <= set(pairs) and len(found) < len(pairs) / 2
+
+
+def test_vectors_over_many_places_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BUCKET", 64)
+    monkeypatch.setattr(embeddings, "BLOCK", 50)
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((120, 48))
+    rows = [(k, (centres[k % 120 if k % 3 else 0] + rng.standard_normal(48) * 0.16).astype(np.float32).tolist()) for k in range(900)]
+    tables, count = embeddings.table_shape(len(rows), 0.95)
+    assert tables > 2 and count >= 3
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    want = {i: n for i, n, _ in brute_vectors(rows)}
+    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.98 * sum(want.values()) > 10_000
+
+
+def test_licence_needles_hold_as_words():
+    m = licences.Matcher()
+    rng, vocabulary = random.Random(33), sorted({w for _, t in licences.TEMPLATES for w in licences.words(t)})
+    for _ in range(3000):
+        _, template = rng.choice(licences.TEMPLATES)
+        line = " ".join(w for w in template.split() if rng.random() < 0.8) + " " + " ".join(rng.sample(vocabulary, 2))
+        assert m.may_match(line.lower()) or m.score(line)[0] is None
+
+
+def test_profiles_and_distance_by_brute_force(spark):
+    """Ranks, out-of-place distance, ties and score against plain dictionaries."""
+    rng = random.Random(11)
+    alphabet = {"xa": "abcdefg hij", "xb": "cdefghijkl mn", "xc": "opqrstu vwx", "xd": "opqrstu vwx"}
+    rows = [(k, "".join(rng.choices(alphabet[name], k=rng.randrange(5, 80))), name) for k, name in enumerate(sorted(alphabet) * 30)]
+    rows += [(900, None, "xa"), (901, "zzz", None), (902, "1 2 3", "xb")]
+
+    learned = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    total = {}
+    for _, text, name in rows:
+        if text is not None and name is not None:
+            codes, counts = language._grams(text)
+            mine = total.setdefault(name, Counter())
+            for c, n in zip(codes.tolist(), counts.tolist(), strict=True):
+                mine[c] += n
+    want = {name: [c for c, _ in sorted(counts.items(), key=lambda p: (-p[1], p[0]))[: language.PROFILE]] for name, counts in total.items()}
+    assert learned.names == sorted(want)
+    for text in [r[1] for r in rows[:40]] + ["", None, "qqq", "abc opq", "ž", "7"]:
+        codes, counts = language._grams(text or "")
+        top = [c for c, _ in sorted(zip(codes.tolist(), counts.tolist(), strict=True), key=lambda p: (-p[1], p[0]))][: language.PROFILE]
+        if not top:
+            assert learned.predict(text) == ("und", 0.0)
+            continue
+        apart = {name: sum(min(abs(profile.index(c) - i), language.PROFILE) if c in profile else language.PROFILE for i, c in enumerate(top)) for name, profile in want.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert learned.predict(text) == (best, pytest.approx(1 - apart[best] / (language.PROFILE * len(top))))
+
+
+def test_pipeline_runs_whole_and_stages_take_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(51)
+    words = [f"{a}{b}{c}" for a in "bdklmnrst" for b in "aeiou" for c in "bdlmnrst"]
+    line = lambda n=12: " ".join(rng.choices(words, k=n))
+    bodies = ["\n".join(line(rng.randrange(8, 30)) for _ in range(4)) for _ in range(12)]
+    shared, item = line(20), line(25)
+    docs = [(k, b, "xx", "web", len(b)) for k, b in enumerate(bodies)]
+    docs += [(20, bodies[0] + "\n" + line(3), "xx", "web", 9), (21, bodies[1], "xx", "web", 9), (22, bodies[2] + "\n" + shared, "xx", "web", 9), (23, line(40) + "\n" + shared, "xx", "web", 9), (24, line(30) + " " + item, "xx", "web", 9)]
+    docs += [(25, None, "xx", None, 0), (26, "", None, "web", 0), (27, "12 34", "xx", "web", 5), (None, line(15), "xx", "web", 1), (28, line(60_000), "xx", "web", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    left = {None if i != i else int(i) for i in packed.doc_id.astype(float)}
+    assert left >= {*range(12), 22, 23, 28, None} - {0, 1, 2} and not left & {21, 24, 25, 26, 27}
+    assert packed.groupby("sequence_id").length.sum().max() <= 4096
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (odd(spark), empty(spark)):
+            clash = table.withColumn("lang_pred", F.lit("en")).withColumn("gone", F.lit(1)).withColumn("document", F.lit(2))
+            out = stage(spark, clash, str(tmp_path))
+            assert name == "packing" or out.columns == clash.columns, name
+            assert (out.count() > 0) == (table.limit(1).count() > 0)
