@@ -15,15 +15,19 @@ ROTATABLE = "pbqdnuwmoxszeyv"
 STRIP = ".,;:!?()[]\"'/\\"
 ALLOWED_INTERNAL = ".-,+()\"'/—–:%;?!/"
 SINGLE_ALLOWED = "aAiIuUvVzZkKsS"
-TITLES = "PhDr,MUDr,JUDr,MVDr,RNDr,PaedDr,CSc,DrSc,Ing,Mgr,Bc,PhD,DiS,prof,doc"
-UNITS = "m,cm,mm,g,kg,km,ha,l,ml"
-SHORT_VALID = "a,i,k,o,s,u,v,z,se,si,po,na,za,ze,do,od,ke,ku,ve,ní,mi,ti,by,je,to,co,ač,my,ty,on,ji,jí,už,až"
-UPRIGHT_WORDS = "po,pod,do,od,on,ony,by,bez,ne,nebo,ven,den,zde,se,ve,mez,pouze,bude"
-NOT_GHOSTS = "no,bo"
+TITLES = ("PhDr", "MUDr", "JUDr", "MVDr", "RNDr", "PaedDr", "CSc", "DrSc", "Ing", "Mgr", "Bc", "PhD", "DiS", "prof", "doc")
+UNITS = ("m", "cm", "mm", "g", "kg", "km", "ha", "l", "ml")
+SHORT_VALID = ("a", "i", "k", "o", "s", "u", "v", "z", "se", "si", "po", "na", "za", "ze", "do", "od", "ke", "ku", "ve", "ní", "mi", "ti", "by", "je", "to", "co", "ač", "my", "ty", "on", "ji", "jí", "už", "až")
+UPRIGHT_WORDS = ("po", "pod", "do", "od", "on", "ony", "by", "bez", "ne", "nebo", "ven", "den", "zde", "se", "ve", "mez", "pouze", "bude")
+NOT_GHOSTS = ("no", "bo")
 METADATA_MARKERS = ("Tb.", "č.neg", "neg.", "obr.", "obr ", "neg ", "Tb ", "č. neg", "č.neg.", "č.", "str.", "Datum")
 NON_TEXT_MARKERS = ("IVerc",)
-MIRROR = ("bdpqaeilmnostuvwxyz", "dbqpaeilmnostuvwxyz")
-ROTATE = ("bqdphnumwyaeilosxz", "qbpdyunwmhea!losxz")
+#: Words that say nothing of quality, and signs that may follow a number.
+NEUTRAL = ("mm", "cm", "m", "g", "kg", "km", "ha", "l", "ml", "tb", "neg", "obr", "str", "č", "čneg")
+AFTER_NUMBER = ".,/:%-;?)="
+#: What a mirrored and an upside-down letter looks like.
+MIRROR = {"b": "d", "d": "b", "p": "q", "q": "p", "a": "a", "e": "e", "i": "i", "l": "l", "m": "m", "n": "n", "o": "o", "s": "s", "t": "t", "u": "u", "v": "v", "w": "w", "x": "x", "y": "y", "z": "z"}
+ROTATE = {"b": "q", "q": "b", "d": "p", "p": "d", "h": "y", "n": "u", "u": "n", "m": "w", "w": "m", "y": "h", "a": "e", "e": "a", "i": "!", "l": "l", "o": "o", "s": "s", "x": "x", "z": "z"}
 #: Cost of a label flipped from the first to the second; other flips cost 1.
 FLIP_COSTS = {
     ("Clear", "Trash"): 3.0, ("Clear", "Non-text"): 3.0, ("Clear", "Noisy"): 1.0, ("Noisy", "Clear"): 0.5, ("Noisy", "Trash"): 2.0,
@@ -31,17 +35,12 @@ FLIP_COSTS = {
 }
 
 
-def words(text: str) -> tuple[str, ...]:
-    return tuple(text.split(","))
-
-
 def ghost_words() -> tuple[str, ...]:
     """What mirrored or upside-down scans make of the upright words."""
-    upright, out = set(words(UPRIGHT_WORDS)), set()
-    for source, image in (MIRROR, ROTATE):
-        glyphs = dict(zip(source, image, strict=True))
+    upright, out = set(UPRIGHT_WORDS), set()
+    for glyphs in (MIRROR, ROTATE):
         out |= {"".join(glyphs[c] for c in reversed(w)) for w in upright if all(c in glyphs for c in w)}
-    return tuple(sorted(out - upright - set(words(NOT_GHOSTS))))
+    return tuple(sorted(out - upright - set(NOT_GHOSTS)))
 
 
 @dataclass(frozen=True)
@@ -94,6 +93,10 @@ class EngineConfig:
     trusted_tier: float = 0.85
     unknown_tier: float = 0.50
     disabled_rules: tuple[str, ...] = ()
+    #: The category of lines with a web or mail address; None: the other rules decide.
+    notation_category: str | None = None
+    #: Whether the shape witness may condemn short lines.
+    witness: bool = False
 
 
 DEFAULT = EngineConfig()

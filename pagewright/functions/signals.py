@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from pagewright import config as C
 
+from . import notation as N
 from . import text as T
+from .witness import clauses_of
 from .words import FIELDS, words_of
 
 # {t} is the text column
@@ -35,7 +37,7 @@ def with_signals(df: DataFrame, cfg: C.EngineConfig = C.DEFAULT) -> DataFrame:
     Density and vowels are those of original_text, the others those of text.
     """
     df = df.withColumn("_words", words_of("text"))
-    df = df.withColumns({name: F.col(f"_words.{name}") for name in FIELDS}).drop("_words")
+    df = df.withColumns({name: F.col(f"_words.{name}") for name in FIELDS} | {"_t": F.expr(N.squeezed())}).drop("_words")
     df = df.withColumns(
         {
             "char_count": F.coalesce(F.length("text"), F.lit(0)),
@@ -43,14 +45,13 @@ def with_signals(df: DataFrame, cfg: C.EngineConfig = C.DEFAULT) -> DataFrame:
             "vowel_ratio": F.expr(ratio_of(VOWEL, "original_text")),
             "has_diacritics": F.expr(f"text rlike {T.char_class(C.CZECH_DIACRITICS)}"),
             "bigram_run": F.expr(r"text rlike '(\\p{L}{2})\\1\\1'"),
-            "structured": F.expr(
-                r"text rlike '(?i)\\b(obr|tab|str|č|čj|inv|sig|kat|parc|neg)\\.\\s*\\p{Nd}' OR text rlike '\\p{Nd}+(?:[.,]\\p{Nd}+)?\\s*(?:mm|cm|m|km|g|kg|ha|l|ml)\\b'"
-                r" OR text rlike '\\b\\p{Nd}{1,2}\\.\\s?\\p{Nd}{1,2}\\.\\s?(?:1[89]|20)\\p{Nd}{2}\\b' OR text rlike '\\.{4,}\\s*\\p{Nd}+$'"
-            ),
-            "notation": F.expr(r"text rlike '(?i)https?://|www\\.|[\\p{L}\\p{N}._%+-]+@[\\p{L}\\p{N}-]+\\.[a-z]{2,}'"),
+            "structured": F.expr(N.structured("_t")),
+            "clean_reference": F.expr(N.clean_reference("_t")),
+            "notation": F.expr(N.notation("_t")),
+            "address": F.expr(N.address("_t")),
         }
-    )
-    return df.withColumns(
+    ).drop("_t")
+    df = df.withColumns(
         {
             "trust": F.expr(trust(cfg)),
             "perplex": F.expr(f"CASE WHEN word_count <= 2 AND perplex_raw > {cfg.short_perplexity_cap} THEN {cfg.short_perplexity_cap}D ELSE perplex_raw END"),
@@ -58,3 +59,7 @@ def with_signals(df: DataFrame, cfg: C.EngineConfig = C.DEFAULT) -> DataFrame:
             "fused_ratio": F.expr("fused_words / cast(greatest(word_count, 1) AS double)"),
         }
     )
+    if cfg.witness:
+        seen = F.size(clauses_of("text", "original_lang")) > 0
+        return df.withColumn("witness", ~F.col("has_diacritics") & ~F.col("structured") & ~F.col("notation") & seen)
+    return df.withColumn("witness", F.lit(False))

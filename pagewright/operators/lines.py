@@ -72,7 +72,7 @@ def headline(t: str = "text") -> str:
     """Up to 8 tokens, each a number, abbreviation or clean word; some clean word beside another kind."""
     tokens = T.tokens(t)
     clean = rf"{T.core('x')} rlike '^\\p{{L}}{{3,}}$' AND {T.core('x')} rlike {T.char_class(C.VOWELS)}"
-    other = rf"x rlike '^(?:\\p{{Nd}}{{1,4}}[.)]?|[IVXLCDM]+\\.?|\\p{{L}}{{1,5}}\\.)$' OR array_contains({T.array(C.words(C.SHORT_VALID))}, lower({T.core('x')}))"
+    other = rf"x rlike '^(?:\\p{{Nd}}{{1,4}}[.)]?|[IVXLCDM]+\\.?|\\p{{L}}{{1,5}}\\.)$' OR array_contains({T.array(C.SHORT_VALID)}, lower({T.core('x')}))"
     return f"(size({tokens}) BETWEEN 1 AND 8 AND forall({tokens}, x -> ({clean}) OR ({other})) AND exists({tokens}, x -> {clean} AND NOT ({other})) AND exists({tokens}, x -> {other}))"
 
 

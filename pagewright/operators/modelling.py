@@ -79,3 +79,18 @@ def correction_delta(before: DataFrame, after: DataFrame, keys: list[str], score
     both = before.select(*keys, F.col(score).alias("q0")).join(after.select(*keys, F.col(score).alias("q1")), keys)
     d = F.col("q1") - F.col("q0")
     return both.agg(F.count("*").alias("n"), F.avg(d).alias("mean_delta"), F.median(d).alias("median_delta"), F.avg((d > 0).cast("double")).alias("improved"), F.avg((d < 0).cast("double")).alias("degraded"))
+
+
+FEATURES = ("word_count", "char_count", "garbage_density", "vowel_ratio", "rot_ratio", "word_weird", "valid_word_ratio", "gibberish_ratio", "fused_ratio", "perplex")
+
+
+def train_regressor(rows: DataFrame, target: str, features: tuple[str, ...] = FEATURES, depth: int = 5, rounds: int = 50, seed: int = 7):
+    """A pipeline of gradient-boosted trees that predicts target from signals; missing features count as 0."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    ready = rows.select(target, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+    stages = [VectorAssembler(inputCols=list(features), outputCol="features"), GBTRegressor(labelCol=target, featuresCol="features", maxDepth=depth, maxIter=rounds, seed=seed)]
+    return Pipeline(stages=stages).fit(ready)
+

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,3 +83,54 @@ def mojibake(column: str = "text") -> str:
     """SQL: signs of Central European text read with the Western code page."""
     wrong = r"[ìèïòøùŸœ¾¹Ïž]"
     return f"(regexp_count({column}, '{wrong}') >= 2 AND {column} rlike {T.char_class('áéíóúý')} AND NOT {column} rlike '[äöüßñç]')"
+
+
+# What normalisation replaces or removes.
+LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
+INVISIBLE = "\u200b\u2060\ufeff\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
+SPACES, HYPHEN_MARKS = "\u00a0\u2007\u202f", "\u00ad\x02\ufffe"
+_GLYPHS = str.maketrans({**LIGATURES, **dict.fromkeys(INVISIBLE, ""), **dict.fromkeys(SPACES, " ")})
+
+
+def normalised_line(line: str) -> str:
+    """Composed characters, no ligatures, marks or control characters; a hyphenation mark at the end becomes a hyphen."""
+    text = unicodedata.normalize("NFC", line.encode("utf-8", "ignore").decode()).translate(_GLYPHS).rstrip()
+    ending = "-" if text[-1:] and text[-1] in HYPHEN_MARKS else ""
+    kept = (c for c in text if c not in HYPHEN_MARKS and (c == "\t" or unicodedata.category(c) != "Cc"))
+    return ("".join(kept) + ending).strip()
+
+
+def wrapped(line: str, width: int) -> list[str]:
+    """Pieces of at most width characters, broken at the last blank (else tab) that fits, else at width."""
+    out = []
+    while 0 < width < len(line):
+        at = next((p for sign in " \t" if (p := line.rfind(sign, 0, width + 1)) > 0), None)
+        head, line = (line[:width], line[width:]) if at is None else (line[:at].rstrip(), line[at + 1 :].lstrip())
+        out.append(head)
+    return [*out, line] if line or not out else out
+
+
+def shaped(text: str | None, width: int = 1000, keep_blank: bool = False) -> list[str]:
+    """Lines of a text, normalised and wrapped; blank ones go unless they are to be kept."""
+    found = (normalised_line(p) for p in re.split(r"\r\n|[\n\r\f\v\x1c-\x1e\x85\u2028\u2029]", text or ""))
+    return [piece for x in found for piece in (wrapped(x, width) if x else [""] if keep_blank else [])]
+
+
+def shape_lines(lines: DataFrame, width: int = 1000, keep_blank: bool = False) -> DataFrame:
+    """Lines (file, page_num, line_num, text) shaped, and numbered anew on each page."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(text: pd.Series) -> pd.Series:
+        return pd.Series([shaped(t, width, keep_blank) for t in text])
+
+    parts = lines.select("file", "page_num", "line_num", F.posexplode(pieces("text")).alias("piece", "text"))
+    n = F.row_number().over(Window.partitionBy("file", "page_num").orderBy("line_num", "piece"))
+    return parts.withColumn("line_num", n).drop("piece")
+
+
+def page_texts(lines: DataFrame) -> DataFrame:
+    """Lines with top and bottom -> one text a page, a blank line where a paragraph starts."""
+    marked = paragraph_breaks(lines)
+    entry = F.struct("line_num", F.when(F.col("starts_paragraph"), F.concat(F.lit("\n"), F.coalesce("text", F.lit("")))).otherwise(F.coalesce("text", F.lit(""))).alias("t"))
+    return marked.groupBy("file", "page_num").agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["t"]), "\n")).alias("text"))
+

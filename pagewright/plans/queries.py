@@ -34,16 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """A file that can't be split would be read, and all that follows done, by one core; larger tables are left as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explode_lines(table(spark, sf_dir, "documents"))
+    return explode_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:  # a file that can't be split would be scored by one core
-        docs = docs.repartition(cores)
-    return scoring.classify(remap_language(with_model_columns(explode_lines(docs))))
+    return scoring.classify(remap_language(with_model_columns(lines_of(spark, sf_dir))))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,7 +382,7 @@ def html_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     def visible(html: str) -> list[str]:
         return [x for _, lines in html_pages(html or "") for x in lines]
 
-    pages = table(spark, sf_dir, "pages").select("page_id", F.posexplode(visible("html")).alias("pos", "text"))
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.posexplode(visible("html")).alias("pos", "text"))
     return pages.select("page_id", (F.col("pos") + 1).alias("line_num"), "text")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import importlib.util
 import io
 import json
 import lzma
@@ -13,7 +14,7 @@ import zipfile
 MAX_BYTES = 256 << 20
 MAX_RATIO = 200
 FALLBACKS = ("cp1250", "iso8859_2", "cp1252")
-_OPENERS = {b"\x1f\x8b": gzip.decompress, b"BZh": bz2.decompress, b"\xfd7zXZ\x00": lzma.decompress}
+_OPENERS = {b"\x1f\x8b": gzip.open, b"BZh": bz2.open, b"\xfd7zXZ\x00": lzma.open}
 _XML_ROOTS = {"alto": "alto", "pcgts": "page_xml", "tei": "tei", "teicorpus": "tei", "djvuxml": "djvu", "html": "html"}
 _BY_NAME = {"md": "markdown", "markdown": "markdown", "csv": "csv", "tsv": "tsv", "srt": "subtitles", "vtt": "subtitles", "jsonl": "jsonl", "ndjson": "jsonl", "json": "json", "mbox": "mbox", "eml": "email"}
 
@@ -26,8 +27,10 @@ def unpack(data: bytes) -> bytes:
     """Looks through one layer of gzip, bzip2 or xz, within limits."""
     for magic, opener in _OPENERS.items():
         if data.startswith(magic):
-            out = opener(data)
-            if len(out) > MAX_BYTES or len(out) > MAX_RATIO * max(len(data), 1024):
+            most = min(MAX_BYTES, MAX_RATIO * max(len(data), 1024))
+            with opener(io.BytesIO(data)) as f:
+                out = f.read(most + 1)  # what is over the limit is never unpacked
+            if len(out) > most:
                 raise Unreadable("compression_bomb")
             return out
     return data
@@ -86,7 +89,9 @@ def kind_of(data: bytes, name: str) -> str:
     """The reader's name for these (unpacked) bytes; Unreadable with a reason for what has none."""
     end = re.sub(r"\.(gz|bz2|xz)$", "", name.lower()).rpartition(".")[2]
     if data.startswith(b"%PDF"):
-        raise Unreadable("dependency_missing")
+        if importlib.util.find_spec("pypdf") is None:
+            raise Unreadable("dependency_missing")
+        return "pdf"
     if data.startswith(b"\xd0\xcf\x11\xe0"):
         raise Unreadable("legacy_office")
     if data.startswith(b"PK\x03\x04"):

@@ -523,11 +523,40 @@ def bundle(data: bytes) -> list[Page]:
     return pages
 
 
+#: Below so many characters a page has no text layer; over that share of unreadable ones it is garbled; at that share of invisible text it is OCR's.
+PDF_LEAST_CHARS, PDF_GARBLED, PDF_OCR_SHARE = 1, 0.20, 0.50
+
+
+def text_layer(text: str, objects: int, invisible: int) -> tuple[str, str | None]:
+    """none, garbled, ocr or digital, and why a page needs OCR."""
+    seen = [c for c in text if not c.isspace() and c not in "\x02\ufffe"]
+    if len(seen) < PDF_LEAST_CHARS:
+        return "none", "no extractable text layer"
+    if sum(c == "\ufffd" or unicodedata.category(c) in ("Cc", "Cf", "Co", "Cn") for c in seen) > PDF_GARBLED * len(seen):
+        return "garbled", "garbled text layer"
+    return ("ocr" if objects and invisible >= PDF_OCR_SHARE * objects else "digital"), None
+
+
+def pdf(data: bytes) -> list[Page]:
+    """Pages of a PDF by the optional library pypdf; garbled pages have no lines."""
+    import pypdf
+
+    reader = pypdf.PdfReader(io.BytesIO(data))
+    if reader.is_encrypted and not reader.decrypt(""):
+        raise Unreadable("encrypted")
+    pages: list[Page] = []
+    for k, page in enumerate(reader.pages, 1):
+        text = page.extract_text() or ""
+        layer, _ = text_layer(text, 0, 0)
+        pages.append((str(k), text.splitlines() if layer in ("digital", "ocr") else []))
+    return pages
+
+
 _ON_TEXT: dict[str, Callable[[str], list[Page]]] = {
     "text": text_pages, "markdown": markdown, "csv": table, "tsv": lambda t: table(t, "\t"), "tesseract": tesseract, "json": json_pages, "jsonl": jsonl, "html": html_pages, "subtitles": subtitles,
 }
 _ON_XML: dict[str, Callable[[ET.Element], list[Page]]] = {"alto": alto, "page_xml": page_xml, "tei": tei, "abbyy": abbyy, "djvu": djvu, "xml": generic_xml}
-_ON_BYTES: dict[str, Callable[[bytes], list[Page]]] = {"email": mail, "mbox": mbox, "docx": docx, "xlsx": xlsx, "pptx": pptx, "odf": odf, "epub": epub, "rtf": rtf, "zip": bundle}
+_ON_BYTES: dict[str, Callable[[bytes], list[Page]]] = {"email": mail, "mbox": mbox, "docx": docx, "xlsx": xlsx, "pptx": pptx, "odf": odf, "epub": epub, "rtf": rtf, "zip": bundle, "pdf": pdf}
 
 
 def read(data: bytes, name: str) -> tuple[str, list[Page]]:
