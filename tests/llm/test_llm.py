@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -697,6 +699,19 @@ def test_a_crowd_of_different_near_copies(spark, monkeypatch):
     assert [r["doc_id"] for r in kept] == [0] and sum(rows) < 40 * len(texts)
 
 
+def test_tables_leave_no_shuffle_files(spark):
+    from pagewright.llm import storage
+
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    left = lambda: sum(len(list(Path(d).rglob("shuffle_*.data"))) for d in folders)
+    before = left()
+    assert storage.cut(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count()).columns == ["k", "count"]
+    for _ in range(50):
+        if left() > before:
+            time.sleep(0.1)
+    assert left() <= before
+
+
 def test_star_links_have_the_components_of_all_links(spark, monkeypatch):
     rng = random.Random(71)
     centres = [rng.getrandbits(64) for _ in range(6)]
