@@ -445,6 +445,19 @@ def test_long_lines_are_held_to_word_edits(spark):
     assert got == {0: True, 1: True, 2: False}
 
 
+def test_line_query_holds_long_lines_to_words_alone(spark, tmp_path):
+    rng = random.Random(82)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    texts = []
+    for _ in range(30):
+        words = [word(5) for _ in range(64)] + [word(18) for _ in range(16)]
+        cut = " ".join([*words[:64], *(word(2) for _ in range(8))])  # 16 edits of 80 words, and under 0.7 of the characters
+        assert len(cut) < 0.75 * len(" ".join(words))
+        texts += [" ".join(words), cut]
+    got = removed(spark, tmp_path, texts)
+    assert all(got[i] == 0 for i in range(0, 60, 2)) and sum(got[i] for i in range(1, 60, 2)) >= 29
+
+
 def test_line_query_takes_short_lines(spark, tmp_path):
     texts = ["All rights reserved\nand ornd\n\n}", "x y\nall rights reserved.\nAnd ornd\n\n}", "all rights reservd", "reproduction", "reproductian", "cat", "cut", "left right", "no such line"]
     assert removed(spark, tmp_path, texts) == {0: 0, 1: 2, 2: 1, 3: 0, 4: 1, 5: 0, 6: 0, 7: 0, 8: 0}
