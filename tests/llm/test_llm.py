@@ -712,6 +712,17 @@ def test_a_crowd_of_different_near_copies(spark, monkeypatch):
     assert [r["doc_id"] for r in kept] == [0] and sum(rows) < 40 * len(texts)
 
 
+def test_pairs_are_verified_in_parts(spark, monkeypatch):
+    from pagewright.llm import linking
+
+    written = []
+    monkeypatch.setattr(linking, "VERIFIED_AT_ONCE", 20)
+    monkeypatch.setattr(linking, "cut", lambda df, f=linking.cut: written.append(f(df)) or written[-1])
+    pairs = spark.createDataFrame([(a, b) for a in range(20) for b in range(a + 1, 20)], "a long, b long")
+    found = linking._verified(pairs, lambda asked: linking.cut(asked.selectExpr("lid", "lid % 5 AS payload")), "x = y")
+    assert {tuple(r) for r in found.collect()} == {(a, b) for a in range(20) for b in range(a + 5, 20, 5)} and len(written) == 2 + 10
+
+
 def test_tables_leave_no_shuffle_files(spark):
     from pagewright.llm import storage
 
