@@ -584,6 +584,40 @@ def test_pipeline_links_by_jaccard(spark):
     assert stage(spark, empty(spark), "").count() == 0 and stage(spark, odd(spark), "").columns == odd(spark).columns
 
 
+def test_pipeline_looks_for_fingerprints_first(spark, monkeypatch):
+    from pagewright.llm import shingle_dedup
+
+    asked, radii = [], []
+
+    def counted(pairs, fetch, same, f=shingle_dedup._verified):
+        asked.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return f(pairs, fetch, same)
+
+    def searched(fps, radius, f=shingle_dedup.star_links):
+        radii.append(radius)
+        return f(fps, radius)
+
+    monkeypatch.setattr(shingle_dedup, "_verified", counted)
+    monkeypatch.setattr(shingle_dedup, "star_links", searched)
+    base = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(f"x{i}" for i in range(50))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in shingle_dedup.keep_one(docs).collect()) == [0, 2]
+    assert radii == [4] and [len(pairs) for pairs in asked] == [1]
+
+
+def test_common_shingles_are_the_last_keys(spark):
+    from pagewright.llm import shingle_dedup
+
+    shared = [f"s{i}" for i in range(30)]
+    texts = [" ".join([*(f"d{k}x{i}" for i in range(40)), *shared]) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    common = shingle_dedup.common_shingles(docs)
+    assert set(common[0].tolist()) == set(shingle_dedup.shingles(" ".join(shared)).tolist())
+    rows = shingle_dedup.shingle_sets(docs, 5, 0.8, common).collect()
+    assert all(len(r["keys"]) > 10 and not set(r["keys"]) & set(common[0].tolist()) for r in rows)
+
+
 @pytest.mark.parametrize("name", ["op4_sharding", "op5_decontamination"])
 def test_queries_equal_sql(spark, sf_dir, name):
     import duckdb
