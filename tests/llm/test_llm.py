@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -854,3 +855,15 @@ def test_pipeline_runs_whole_and_stages_take_odd_rows(spark, tmp_path):
             out = stage(spark, clash, str(tmp_path))
             assert name == "packing" or out.columns == clash.columns, name
             assert (out.count() > 0) == (table.limit(1).count() > 0)
+
+
+def test_python_workers_get_few_rows_of_a_table_at_once(spark):
+    from pagewright.llm import storage
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get(storage.BATCH)
+    seen = [r["n"] for r in storage.cut(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long")).collect()]
+    assert sum(seen) == 5000 and max(seen) <= 1000 and spark.conf.get(storage.BATCH) == before
