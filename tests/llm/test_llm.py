@@ -867,3 +867,38 @@ def test_python_workers_get_few_rows_of_a_table_at_once(spark):
     before = spark.conf.get(storage.BATCH)
     seen = [r["n"] for r in storage.cut(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long")).collect()]
     assert sum(seen) == 5000 and max(seen) <= 1000 and spark.conf.get(storage.BATCH) == before
+
+
+def test_a_passage_of_many_unlike_lines_makes_few_pairs(spark, monkeypatch):
+    from pagewright.llm import linking
+
+    rng = random.Random(85)
+    passage = [f"word{k}" for k in range(60)]
+    texts = [" ".join([*(f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 30))), *passage]) for _ in range(600)]
+    texts.append(texts[7].replace("word30", "other"))
+    rows = []
+
+    def counted(pairs, fetch, same, f=linking._verified):
+        rows.append(pairs.count())
+        return f(pairs, fetch, same)
+
+    monkeypatch.setattr(linking, "_verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = line_dedup.dedup_lines(docs, 1, None).where("n_removed = 1").collect()
+    assert [r["doc_id"] for r in gone] == [600] and sum(rows) < 2 * len(texts)
+
+
+def test_what_pairs_are_made_by_holds_for_every_link(spark):
+    rng = random.Random(86)
+    texts = []
+    for n in [6, 12, 30, 60, 90, 200] * 6:
+        words = [f"w{rng.randrange(40)}" for _ in range(n)]
+        for share in (0, 0.1, 0.19, 0.2, 0.21, 0.3):
+            copy = [f"v{rng.randrange(40)}" if rng.random() < share else w for w in words]
+            texts.append(" ".join(copy[: max(1, n - rng.randrange(1 + int(share * n / 2)))]))
+    lines = spark.createDataFrame([(i, t, len(t), len(t.split(" "))) for i, t in enumerate(texts)], "lid long, payload string, n int, n_words int")
+    marked = lines.join(line_dedup.line_marks(lines.select("lid", "payload")), "lid")
+    pairs = marked.alias("a").join(marked.alias("b"), F.expr("a.lid < b.lid AND b.lid < a.lid + 6"))
+    got = pairs.select(F.expr(line_dedup.may_link(0.8)).alias("may"), line_dedup.similar("a.payload", "b.payload").alias("is"), F.expr("greatest(a.n, b.n) > 256").alias("long")).collect()
+    assert all(r["may"] for r in got if r["is"]) and all(r["may"] == r["is"] for r in got if not r["long"])
+    assert sum(r["is"] for r in got) > 50 and sum(not r["may"] for r in got if r["long"]) > 50
