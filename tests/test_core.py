@@ -57,6 +57,12 @@ def test_passes_on_small_frames(spark):
     assert [r["categ"] for r in passes.modal_dedup(df).orderBy("line_num").collect()] == ["Clear", "Clear", "Empty"]
 
 
+def test_a_surrounded_line_at_the_limit_stays(spark):
+    schema = "file string, page_num int, line_num int, text string, categ string, quality_score double"
+    of = lambda score: spark.createDataFrame([("d", 1, i + 1, f"t{i}", c, score) for i, c in enumerate(["Trash", "Trash", "Noisy", "Trash", "Trash"])], schema)
+    assert [passes.surrounded_trash(of(score)).where("pp_surrounded_trash").count() for score in (0.6999, 0.7)] == [1, 0]
+
+
 def test_statistics(spark):
     assert evaluate.mcnemar(0, 0) == 1.0 and evaluate.mcnemar(8, 1) == pytest.approx(0.0390625)
     low, high = evaluate.wilson("k", "n")
