@@ -57,6 +57,22 @@ def test_passes_on_small_frames(spark):
     assert [r["categ"] for r in passes.modal_dedup(df).orderBy("line_num").collect()] == ["Clear", "Clear", "Empty"]
 
 
+def test_plain_words_are_read_as_all_others():
+    import random
+
+    from pagewright.functions.words import _PLAIN, any_word, word
+
+    rng, cores = random.Random(3), ["prof", "Ing", "oooo", "oo", "brambory", "strč", "krk", "xaxaxx", "Waww", "aeiou", "Mississippi", "nejneobhospodařovávanější", "ščžň"]
+    cores += ["".join(rng.choice("aeiouwxqbcčdrsštnýß") for _ in range(rng.randint(3, 17))) for _ in range(3000)]
+    cores += [c.capitalize() for c in cores]
+    for core in (c for c in cores if _PLAIN.fullmatch(c)):
+        for raw in (core, core + ".", "(" + core + ".),", core + ".:"):
+            found = word(raw)
+            assert found._replace(clean=False) == any_word(raw, core)
+            assert not found.clean or not any((found.weird, found.repeated, found.fused, found.gibberish, found.wx, found.wqx)) and found.verdict == 2
+    assert word("brambory").clean and not word("Waww").clean and not word("prof.").clean
+
+
 def test_a_surrounded_line_at_the_limit_stays(spark):
     schema = "file string, page_num int, line_num int, text string, categ string, quality_score double"
     of = lambda score: spark.createDataFrame([("d", 1, i + 1, f"t{i}", c, score) for i, c in enumerate(["Trash", "Trash", "Noisy", "Trash", "Trash"])], schema)
