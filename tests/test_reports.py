@@ -296,3 +296,18 @@ def test_core_stands_without_the_training_data_part(tmp_path):
         shutil.rmtree(tmp_path / "repo" / gone, ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'page_stats' in q and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env={**os.environ, "PYTHONPATH": os.environ.get("PYTHONPATH", "").replace(root, "")})
+
+
+def test_tests_before_the_patterns_change_nothing(spark):
+    from pagewright.functions import notation as N
+    from pagewright.operators.lines import repaired
+
+    lines = ["ve1ký 2emě A B C D", "P R A H A a B R N O", "a1 2b 12", "www.a.cz", "WwW.x.eu/2", "wwx.a.cz", "e-mail : x", "a@b.cz", "https://x", "obr. bez", "rozm. bez", "rozm. 1", "č. j. 5", "A-1/2", "1. Úvod 5", "12.3.1950", "12 cm", None]
+    df = spark.createDataFrame([(x,) for x in lines], "t string").withColumn("damaged_tokens", F.lit(0))
+    for pattern, name in ((N.ADDRESS, N.address), (N.REFERENCE + "|" + N.QUANTITY, N.clean_reference)):
+        assert df.where(f"NOT ({N.has('t', pattern)} <=> {name('t')})").count() == 0
+    # a line without a digit is spared the patterns that need one
+    tested = N.measurement("t")
+    assert tested.startswith("(" + N.digit("t") + " AND ") and df.where(f"{tested} AND NOT t rlike '[0-9]'").count() == 0
+    got = {r["t"]: r["x"] for r in df.select("t", F.expr(repaired("t")).alias("x")).collect()}
+    assert got["ve1ký 2emě A B C D"] == "velký země Abcd" and got["P R A H A a B R N O"] == "Praha a Praha" and got["a1 2b 12"] == "a1 zb 12" and got[None] is None
