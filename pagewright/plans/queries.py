@@ -378,7 +378,8 @@ def line_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.udf("array<string>", useArrow=True)
+    # pages are whole: Arrow would hold 10,000 of them at once on both sides, pickled rows go a hundred at a time
+    @F.udf("array<string>", useArrow=False)
     def visible(html: str) -> list[str]:
         return [x for _, lines in html_pages(html or "") for x in lines]
 
