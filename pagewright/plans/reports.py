@@ -57,7 +57,7 @@ def structured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def witness_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligible lines by the clauses that they satisfy; back-references are no SQL of every engine."""
     df = lines_of(spark, sf_dir).withColumn("original_lang", F.lit("ces_Latn"))
-    got = witness.line_report(df).where("eligible").groupBy(F.array_join("clauses", ",").alias("clauses"))
+    got = witness.line_report(df, eligible_only=True).groupBy(F.array_join("clauses", ",").alias("clauses"))
     return got.agg(F.count("*").alias("lines"), F.count_distinct("text").alias("strings"))
 
 

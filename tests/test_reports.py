@@ -311,3 +311,16 @@ def test_tests_before_the_patterns_change_nothing(spark):
     assert tested.startswith("(" + N.digit("t") + " AND ") and df.where(f"{tested} AND NOT t rlike '[0-9]'").count() == 0
     got = {r["t"]: r["x"] for r in df.select("t", F.expr(repaired("t")).alias("x")).collect()}
     assert got["ve1ký 2emě A B C D"] == "velký země Abcd" and got["P R A H A a B R N O"] == "Praha a Praha" and got["a1 2b 12"] == "a1 zb 12" and got[None] is None
+
+
+def test_eligible_lines_alone(spark):
+    texts = ["oueussd", "a b c", "a b c d", " a b c", "  a  b  c  ", "a\tb c d", "a\u00a0b c", "a - - -", "a ' b", "a b c d e", "x  y  z  ooo e", "bbrno 1", "", None, "a\nb\nc", "- a b c d"]
+    df = spark.createDataFrame([(t, "ces_Latn") for t in texts], "text string, original_lang string")
+    read = lambda got: sorted(map(str, got.select("text", "word_count", "witness", "clauses").collect()))
+    found = read(witness.line_report(df, eligible_only=True))
+    assert found == read(witness.line_report(df).where("eligible")) and len(found) > 5
+
+
+def test_pages_are_not_gathered_by_thousands(spark, sf_dir):
+    plan = reports.QUERIES["html_text_lines"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
